@@ -405,3 +405,21 @@ def is_scanner_path(path: Column) -> Column:
         | p.startswith("/.env.") | p.startswith("/.git/") | p.startswith("/.hg/") | p.startswith("/.svn/")
         | p.startswith("/wp-") | p.startswith("/wordpress/") | p.endswith(".php")
     )
+
+
+def resolve_location_p(p: Column, loc: Column) -> Column:
+    """U11 with the base URL given as staged parts ``p`` (an attribute), for
+    use inside per-node lambdas where the base is constant per page."""
+    origin = F.concat(p["scheme"], F.lit("://"), p["host"])
+    base_path = path_p(p)
+    base_dir = F.regexp_replace(base_path, r"[^/]*$", "")
+    l = js_trim(loc)
+    return (
+        F.when(l.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), l)
+        .when(l.startswith("//"), F.concat(p["scheme"], F.lit(":"), l))
+        .when(l.startswith("/"), F.concat(origin, l))
+        .when(l.startswith("?"), F.concat(origin, base_path, l))
+        .when(l.startswith("#"), F.concat(origin, base_path, F.coalesce(p["query"], F.lit("")), l))
+        .when(l == "", F.concat(origin, base_path, F.coalesce(p["query"], F.lit(""))))
+        .otherwise(F.concat(origin, base_dir, l))
+    )
