@@ -1,6 +1,6 @@
 """The query catalogue.  Importing this package registers every query."""
 
-from pagemill.plans import doc_queries, url_queries, usage_queries  # noqa: F401
+from pagemill.plans import doc_queries, freshness_queries, url_queries, usage_queries  # noqa: F401
 from pagemill.plans.registry import OPERATORS, ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES", "OPERATORS"]
