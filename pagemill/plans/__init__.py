@@ -1,6 +1,8 @@
 """The query catalogue.  Importing this package registers every query."""
 
-from pagemill.plans import doc_queries, freshness_queries, post_queries, url_queries, usage_queries  # noqa: F401
+from pagemill.plans import (  # noqa: F401
+    doc_queries, freshness_queries, post_queries, stream_queries, url_queries, usage_queries,
+)
 from pagemill.plans.registry import OPERATORS, ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES", "OPERATORS"]

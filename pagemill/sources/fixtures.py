@@ -66,7 +66,11 @@ def url_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def usage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F2 (full 7-key grain): one usage event per base event."""
-    ev = read_events(spark, sf_dir)
+    return usage_events_from(read_events(spark, sf_dir))
+
+
+def usage_events_from(ev: DataFrame) -> DataFrame:
+    """F2 projection over an events frame (batch or streaming)."""
     eid, et = F.col("event_id"), F.col("event_type")
     event_name = (F.when(et == "view", F.lit("browser_page_view"))
                   .when(et == "click", F.lit("conversion_submit"))
