@@ -103,7 +103,7 @@ def url_parts(raw: Column) -> Column:
     return F.struct(
         s.alias("input"), scheme.alias("scheme"), userinfo.alias("userinfo"),
         host.alias("host"), port.alias("port"), path.alias("path"), query.alias("query"),
-        valid.alias("valid"),
+        valid.alias("valid"), blocked_host(host).alias("blocked"),
     )
 
 

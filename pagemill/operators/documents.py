@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import text as X
 from pagemill.functions import urls as U
 from pagemill.operators.html_nodes import TEXT, html_nodes
-from pagemill.plans.stage import stage
+from pagemill.operators.staging import stage
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference service's behaviour.
