@@ -17,6 +17,13 @@ from pyspark.sql import types as T
 
 from pagemill.functions.urls import JS_WS, js_trim
 
+# Executors need not have this package installed: functions defined here
+# (run inside Python workers) are shipped by value with the task.
+import sys as _sys  # noqa: E402
+from pyspark import cloudpickle as _cloudpickle  # noqa: E402
+
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference service's behaviour.
 # ---------------------------------------------------------------------------

@@ -20,6 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+# Executors need not have this package installed: functions defined here
+# (run inside Python workers) are shipped by value with the task.
+import sys as _sys  # noqa: E402
+from pyspark import cloudpickle as _cloudpickle  # noqa: E402
+
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+
 NODE_TYPE = T.StructType([
     T.StructField("pos", T.IntegerType()),
     T.StructField("end", T.IntegerType()),
