@@ -199,31 +199,33 @@ def _grouped(values: list, size) -> list[list]:
     return groups + [group] if group else groups
 
 
-def _encode(path: str, pattern: str, digest: bool):
+def _encode(path: str, pattern: str, ids_too: bool, digest: bool):
     def run(batches):
         import hashlib
 
+        import numpy as np
         import pyarrow as pa
 
         codec = _codec(path, pattern)
         for batch in batches:
-            rest = [batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] != "text"]
             names = [x for x in batch.schema.names if x != "text"]
-            n, first, second = [], [], []
+            columns = [batch.column(x) for x in names]
+            ids = []
+            made = {"n_tokens": None, "ids": None, "ids_sha256": [], "decoded_sha256": []}
             for texts in _grouped(batch.column("text").to_pylist(), lambda t: len(t or "")):
-                ids = codec.encode(texts)
-                n += map(len, ids)
+                own = codec.encode(texts)
+                ids += own
                 if digest:
-                    raw = codec.decode(ids)
-                    first += [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids]
-                    second += [hashlib.sha256(x).hexdigest() for x in raw]
-                else:
-                    first += ids
-            if digest:
-                made = {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(first), "decoded_sha256": pa.array(second)}
-            else:
-                made = {"n_tokens": pa.array(n, pa.int64()), "ids": pa.array([x.tolist() for x in first], pa.list_(pa.int64()))}
-            yield pa.RecordBatch.from_arrays(rest + list(made.values()), names=names + list(made))
+                    made["ids_sha256"] += [hashlib.sha256(x.tobytes()).hexdigest() for x in own]
+                    made["decoded_sha256"] += [hashlib.sha256(x).hexdigest() for x in codec.decode(own)]
+            n = np.array([len(x) for x in ids], np.int64)
+            made["n_tokens"] = pa.array(n)
+            flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+            made["ids"] = pa.LargeListArray.from_arrays(pa.array(np.cumsum([0, *n])), pa.array(flat.astype(np.int32)))
+            told = ["n_tokens"] + ["ids"] * ids_too + ["ids_sha256", "decoded_sha256"] * digest
+            made["ids"] = made["ids"].cast(pa.list_(pa.int32())) if ids_too else None
+            yield pa.RecordBatch.from_arrays(columns + [x if isinstance(x, pa.Array) else pa.array(x, pa.string())
+                                                        for x in map(made.get, told)], names=names + told)
 
     return run
 
@@ -258,14 +260,16 @@ def _schema(df: DataFrame, without: str, more: str) -> str:
     return ", ".join(x for x in (kept, more) if x)
 
 
-def encode(docs: DataFrame, ranks: str = "byte_bpe_50k.tiktoken", pattern: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, ranks: str = "byte_bpe_50k.tiktoken", pattern: str | None = None,
+           checked: bool = False) -> DataFrame:
     """``docs`` with n_tokens and ids in place of text.
 
-    Columns of ``docs`` named n_tokens or ids are replaced.
+    ``checked`` adds ids_sha256 and decoded_sha256: the ids are decoded again
+    in the same task.  Columns of ``docs`` with the new names are replaced.
     """
-    docs = docs.drop("n_tokens", "ids")
-    return docs.mapInArrow(_encode(*_vocabulary(ranks, pattern), False),
-                           _schema(docs, "text", "n_tokens long, ids array<long>"))
+    docs = docs.drop("n_tokens", "ids", *["ids_sha256", "decoded_sha256"] * checked)
+    more = "n_tokens long, ids array<int>" + ", ids_sha256 string, decoded_sha256 string" * checked
+    return docs.mapInArrow(_encode(*_vocabulary(ranks, pattern), True, checked), _schema(docs, "text", more))
 
 
 def decode(encoded: DataFrame, ranks: str = "byte_bpe_50k.tiktoken", pattern: str | None = None) -> DataFrame:
@@ -277,7 +281,7 @@ def decode(encoded: DataFrame, ranks: str = "byte_bpe_50k.tiktoken", pattern: st
 def round_trip(docs: DataFrame, ranks: str = "byte_bpe_50k.tiktoken", pattern: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encoded and decoded again within one task."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(_encode(*_vocabulary(ranks, pattern), True),
+    return docs.mapInArrow(_encode(*_vocabulary(ranks, pattern), False, True),
                            "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 

@@ -4,9 +4,10 @@ A document's set holds the hashes of its distinct word shingles; its sketch
 the k least of them, from one hash function.  Documents with equal sets are
 one class from the start.  Inverted lists: the key of a list is a run of four
 consecutive sketch values, so that documents in one list share them; a pair
-with similarity 0.85 misses all lists with a probability of about 1e-8, and
-sets small enough for their whole order to be in the sketch (fewer than 8
-shingles: runs of three) share one for certain.  Pairs of a list pass when
+with similarity 0.85 misses all lists with a probability of about 1e-8 (6e-7
+at 0.8).  Small sets, whose whole order is in the sketch, share one for
+certain: the d shingles that two sets do not share cut the others into at most
+d + 1 runs, so up to 15 shingles runs of three count too, up to 5 runs of two.  Pairs of a list pass when
 their union's sketch puts the similarity near the threshold or above, and are
 verified on the full sets (64-bit hashes).
 
@@ -118,7 +119,8 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, words_a_shingle: int =
     least = next(n for n in range(1, 1000) if 100 * n >= threshold * (n + 1))
     at = F.sequence(F.lit(1), F.greatest(F.size("sketch") - F.col("run") + 1, F.lit(1)))
     keys = (reps.where(F.col("n_shingles") >= least)
-            .withColumn("run", F.explode(F.when(F.col("n_shingles") < 2 * RUN, F.array(F.lit(RUN - 1), F.lit(RUN)))
+            .withColumn("run", F.explode(F.when(F.col("n_shingles") <= 5, F.array(*map(F.lit, (RUN - 2, RUN - 1, RUN))))
+                                         .when(F.col("n_shingles") <= 15, F.array(F.lit(RUN - 1), F.lit(RUN)))
                                          .otherwise(F.array(F.lit(RUN)))))
             .select("id", F.explode(F.transform(at, lambda i: F.xxhash64(F.slice("sketch", i, F.col("run"))))).alias("list")))
 

@@ -46,8 +46,8 @@ def _powers(n: int):
     return _STATE["pow"], _STATE["inv"], _STATE["byte"]
 
 
-def chunks(column):
-    """(first row, offsets, bytes) of stretches of an Arrow string or binary column of about CHUNK_BYTES.
+def chunks(column, size: int = CHUNK_BYTES):
+    """(first row, offsets, bytes) of stretches of an Arrow string or binary column of about ``size`` bytes.
 
     Null values have no bytes.  A longer value is a stretch of its own.
     """
@@ -62,7 +62,7 @@ def chunks(column):
     data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
     first = 0
     while first < n:
-        last = int(np.searchsorted(offsets, offsets[first] + CHUNK_BYTES, "right")) - 1
+        last = int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1
         last = min(n, max(first + 1, last))
         yield first, offsets[first:last + 1] - offsets[first], data[offsets[first]:offsets[last]]
         first = last
@@ -87,6 +87,22 @@ def words(offsets, data, table):
     return np.searchsorted(offsets, starts, "right") - 1, h, starts, ends
 
 
+def byte_sums(data):
+    """Prefix sums whose differences, with ``span_hash``, hash any span of the bytes."""
+    import numpy as np
+
+    power, _, byte = _powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(byte[data] * power[:len(data)], out=sums[1:])
+    return sums
+
+
+def span_hash(sums, start, end):
+    """Hash of the bytes from ``start`` to ``end`` (arrays, or slices' bounds)."""
+    inverse = _powers(len(sums))[1]
+    return mix((sums[end] - sums[start]) * inverse[start])
+
+
 def grams(row, h, k: int):
     """(row, hash, first word) of each run of k words of one row."""
     import numpy as np
