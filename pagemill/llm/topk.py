@@ -12,8 +12,8 @@ block are merged by Spark.
 Vectors that are null, or hold a null or non-finite component, take no part.
 Shorter vectors count as padded with zeros.  Ties go to the smaller vec_id.
 Rows with equal vec_id are separate candidates; a query never meets a row with
-its own vec_id, and a repeated query row gives its answer once.  Components
-must stay below 2**24 in absolute value after scaling so that sums fit 64 bits.
+its own vec_id, and a repeated query row gives its answer once.  Scores must
+fit 64 bits.
 """
 
 from __future__ import annotations
@@ -26,7 +26,9 @@ from pagemill.sources.tables import read_table
 from .common import query
 
 BLOCK_ROWS = 4096
-QUERY_ROWS = 256
+QUERY_ROWS = 512
+DEPTHS = (0.1, 0.3, 0.6, 1.0)   # shares of a list read before bounds are compared
+RESOLVE = 64                    # so few vectors left are scored in full
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -47,53 +49,50 @@ def _matrix(lists):
     return m
 
 
-def nra_block(ids, x, qid, q, k: int):
-    """Best k (vec_id, score) of one block for one query vector.
+def nra_block(ids, values, qids, queries, k: int):
+    """(query row, vec_id, score) of the best k vectors of one block for each query.
 
-    ``x`` is (values (n, d), order (d, n), sorted values (n, d)): the lists of
-    the block, which the caller sorts once for all queries.
+    A query reads a component's list from its large end where its own
+    component is positive, else from its small end.  What has been read at a
+    depth is the same for all queries but for the end, so the bounds of all
+    queries that are still open come from four matrix products a depth.
     """
     import numpy as np
 
-    values, order, ordered = x
     n, d = values.shape
-    own = ids == qid
-    if n <= 4 * k:
-        score = values @ q
-        keep = np.flatnonzero(~own)
-    else:
-        rev = q < 0                                             # read such lists from their small end
-        worst = np.where(rev, ordered[-1], ordered[0]) * q      # last entry a list can give
-        partial = np.zeros(n, np.int64)                         # sum of components read
-        unread_worst = np.full(n, worst.sum())
-        seen = np.zeros((n, d), bool)
-        alive = ~own
-        depth = 0
-        for share in (0.05, 0.12, 0.25, 0.5, 1.0):
-            to = max(depth + 1, int(n * share))
-            lists = np.where(rev[:, None], order[:, depth:to], order[:, ::-1][:, depth:to])
-            cols = np.repeat(np.arange(d), lists.shape[1])
-            at = lists.ravel()
-            got = values[at, cols] * q[cols]
-            partial += np.bincount(at, got, n).astype(np.int64)
-            unread_worst -= np.bincount(at, worst[cols], n).astype(np.int64)
-            seen[at, cols] = True
-            depth = to
-            front = np.where(rev, ordered[to - 1], ordered[n - to]) * q
-            cand = np.flatnonzero(alive)
-            if len(cand) <= k:
+    exact = max(1, np.abs(values).max(initial=0)) * max(1, np.abs(queries).max(initial=0)) * d < 2 ** 52
+    x, q = (values.astype(float), queries.astype(float)) if exact else (values, queries)
+    alive = ids[None, :] != qids[:, None]
+    if n > RESOLVE:
+        order = np.argsort(x, axis=0, kind="stable")
+        lists = np.take_along_axis(x, order, axis=0)
+        place = np.empty_like(order)
+        np.put_along_axis(place, order, np.arange(n)[:, None], axis=0)
+        ends = np.hstack([np.maximum(q, 0), np.minimum(q, 0)])
+        still = np.arange(len(q))
+        for depth in sorted({max(1, int(n * share)) for share in DEPTHS}):
+            read = np.hstack([place >= n - depth, place < depth])
+            both = np.hstack([x, x])
+            worst = np.hstack([lists[0], lists[-1]])               # the last entries of the lists
+            front = np.hstack([lists[n - depth], lists[depth - 1]])  # where the lists stand
+            e = ends[still]
+            low = e @ (read * (both - worst)).T + (e @ worst)[:, None]
+            high = e @ (read * (both - front)).T + (e @ front)[:, None]
+            low[~alive[still]] = np.iinfo(np.int64).min
+            kth = np.partition(low, n - k, axis=1)[:, n - k]
+            alive[still] &= high >= kth[:, None]
+            still = still[alive[still].sum(axis=1) > RESOLVE]
+            if not len(still):
                 break
-            low = partial[cand] + unread_worst[cand]
-            kth = np.partition(low, len(low) - k)[len(low) - k]
-            high = partial[cand] + front.sum() - seen[cand] @ front
-            alive[cand[high < kth]] = False
-            if alive.sum() <= 4 * k:
-                break
-        keep = np.flatnonzero(alive)
-        score = np.zeros(n, np.int64)
-        score[keep] = values[keep] @ q
-    best = keep[np.lexsort((ids[keep], -score[keep]))[:k]]
-    return ids[best], score[best]
+    rows, vids, scores = [], [], []
+    for i in range(len(q)):
+        keep = np.flatnonzero(alive[i])
+        score = values[keep] @ queries[i]
+        best = np.lexsort((ids[keep], -score))[:k]
+        rows += [i] * len(best)
+        vids += ids[keep[best]].tolist()
+        scores += score[best].tolist()
+    return rows, vids, scores
 
 
 def _search(k: int):
@@ -110,13 +109,11 @@ def _search(k: int):
                 width = max(values.shape[1], queries.shape[1])
                 values = np.pad(values, ((0, 0), (0, width - values.shape[1])))
                 queries = np.pad(queries, ((0, 0), (0, width - queries.shape[1])))
-                order = np.argsort(values, axis=0, kind="stable").T.copy()
-                ordered = np.take_along_axis(values, order.T, axis=0)
-                for qid, q in zip(row["qids"], queries):
-                    vid, score = nra_block(ids, (values, order, ordered), qid, q, k)
-                    out_q += [qid] * len(vid)
-                    out_v += vid.tolist()
-                    out_s += score.tolist()
+                qids = np.array(row["qids"], np.int64)
+                at, vid, score = nra_block(ids, values, qids, queries, k)
+                out_q += qids[at].tolist()
+                out_v += vid
+                out_s += score
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out_q, pa.int64()), pa.array(out_v, pa.int64()), pa.array(out_s, pa.int64())],
                 names=["query_id", "vec_id", "score"])
@@ -135,7 +132,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the k best vectors of ``vectors`` for each row of ``queries``.
 
     Both inputs have vec_id and x (``quantised``).  Blocks have an expected
-    4,096 vectors and 256 queries, so a task's size does not grow with the input.
+    4,096 vectors and 512 queries, so a task's size does not grow with the input.
     """
     n, m = vectors.count(), queries.select("vec_id").distinct().count()
     qblocks = _blocks(queries.dropDuplicates(["vec_id"]), QUERY_ROWS, m)
