@@ -126,7 +126,7 @@ def page_blocks(html: str, patterns) -> tuple[list[str], bool]:
             current.append(" ")
             continue
         inline = tag in INLINE
-        if not inline:
+        if not inline and tag not in RAW:
             flush()
         if closing:
             for i in range(len(stack) - 1, -1, -1):
