@@ -28,7 +28,8 @@ _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
 # Fixed values that must equal the reference service's behaviour.
 # ---------------------------------------------------------------------------
 # Phrases that mark navigation chrome near the top of a Markdown document
-# (case-insensitive); two or more within the first 2000 characters = chrome.
+# (case-insensitive); two or more = chrome.  The service looks at the first
+# 2000 characters; here ``first`` is a parameter, by default the whole text.
 CHROME_SIGNALS = [
     r"jump to content",
     r"main menu",
@@ -86,9 +87,9 @@ def word_count_post(md: Column) -> Column:
     return count_tokens(x)
 
 
-def chrome_hits(md: Column) -> Column:
-    """A10: how many chrome phrases occur in the first 2000 characters."""
-    head = F.substring(md, 1, CHROME_HEAD_CHARS)
+def chrome_hits(md: Column, first: int | None = None) -> Column:
+    """A10: how many chrome phrases occur (in the ``first`` characters, if given)."""
+    head = md if first is None else F.substring(md, 1, first)
     hits = [F.when(head.rlike("(?i)" + p), 1).otherwise(0) for p in CHROME_SIGNALS]
     total = hits[0]
     for h in hits[1:]:
@@ -96,9 +97,9 @@ def chrome_hits(md: Column) -> Column:
     return total
 
 
-def is_chrome_dump(md: Column) -> Column:
-    """Two or more chrome phrases near the top."""
-    return chrome_hits(md) >= 2
+def is_chrome_dump(md: Column, first: int | None = None) -> Column:
+    """Two or more chrome phrases (in the ``first`` characters, if given)."""
+    return chrome_hits(md, first) >= 2
 
 
 def has_heading(md: Column) -> Column:
@@ -124,6 +125,12 @@ def escape_html(c: Column) -> Column:
     return F.replace(x, F.lit('"'), F.lit("&quot;"))
 
 
+def escape_text(c: Column) -> Column:
+    """Text as a serialised document holds it: & < > escaped."""
+    x = F.replace(c, F.lit("&"), F.lit("&amp;"))
+    return F.replace(F.replace(x, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
 def is_policy_error(msg: Column) -> Column:
     """Errors no fallback can fix."""
     return msg.rlike("(?i)(" + "|".join(POLICY_ERRORS) + ")")
@@ -143,16 +150,18 @@ def nfkd(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else unicodedata.normalize("NFKD", v))
 
 
-def safe_filename(title: Column, strip_edges: bool = True) -> Column:
+def safe_filename(title: Column, strip_edges: bool = True, max_chars: int | None = None) -> Column:
     """NFKD, keep word characters / whitespace / '-', collapse runs of
-    space, '_' and '-' into '-', strip edge dashes, 80 characters, default
-    ``document``.  ``strip_edges=False`` is the browser-download variant."""
+    space, '_' and '-' into '-', strip edge dashes, default ``document``.
+    The service cuts at 80 characters: pass ``max_chars=80`` for its label.
+    ``strip_edges=False`` is the browser-download variant."""
     x = F.regexp_replace(nfkd(title), r"[^A-Za-z0-9_\s-]", "")
     x = js_trim(x)
     x = F.regexp_replace(x, r"[\s_-]+", "-")
     if strip_edges:
         x = F.regexp_replace(x, r"^-+|-+$", "")
-    x = F.substring(x, 1, 80)
+    if max_chars is not None:
+        x = F.substring(x, 1, max_chars)
     return F.coalesce(F.nullif(x, F.lit("")), F.lit("document"))
 
 
@@ -160,7 +169,3 @@ def collapse_blank_lines(c: Column) -> Column:
     """three or more newlines → one blank line."""
     return F.regexp_replace(c, r"\n{3,}", "\n\n")
 
-
-def quote_lines(c: Column) -> Column:
-    """prefix every line with ``> ``."""
-    return F.regexp_replace(c, r"(?m)^", "> ")

@@ -8,8 +8,8 @@ Pipeline per page (one row per page throughout — no shuffle, no join):
 
 Every step after H01 is a Spark expression (higher-order functions over the
 array), so the work is vectorised JVM code and scales with pages × nodes.
-A page is bounded by the 5 MiB source limit (S03), so one row never grows
-without bound.
+The service's size limits are flags (``too_large``, ``error``): title and
+Markdown are made for every page.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import text as X
 from pagemill.functions import urls as U
-from pagemill.operators.html_nodes import TEXT, html_nodes
+from pagemill.operators.html_nodes import BOLD, CELL, CODE, ITALIC, PRE, TEXT, VOID, html_nodes
 from pagemill.operators.staging import stage
 
 # ---------------------------------------------------------------------------
@@ -56,6 +56,14 @@ WIKI_STRIP_SELECTORS = [
     ".shortdescription", ".thumb", ".gallery", ".infobox", "#toc", ".toc",
 ]
 # Appendix section headings dropped from encyclopedia articles.
+ERROR_SOURCE_SIZE = "The page is larger than the 5 MB service limit."
+ERROR_SLIM_SIZE = "The page content is too large to convert after cleanup."
+ERROR_NOTHING = "Readable content could not be identified."
+ERROR_CHROME = "Readable content could not be isolated from page chrome."
+ERROR_EMPTY_MARKDOWN = "Empty Markdown."
+ERROR_MARKDOWN_CHROME = "Extraction returned page chrome instead of article content."
+# Frame of the slimmed document around title and root.
+SLIM_FRAME = '<!doctype html><html><head><meta charset="utf-8"><title></title></head><body></body></html>'
 APPENDIX_HEADINGS = ["References", "External links", "Further reading", "See also", "Notes",
                      "Bibliography", "Sources", "Citations"]
 # ---------------------------------------------------------------------------
@@ -64,7 +72,9 @@ HEADINGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
 BLOCKS = ["p", "div", "section", "article", "main", "header", "footer", "aside", "nav", "figure",
           "figcaption", "table", "form", "dl", "dd", "dt", "address", "details", "summary",
           "fieldset", "center", "body", "ul", "ol", "blockquote"]
-PLACEHOLDER_INDENT = "\u0001\u0001"   # list indentation that survives whitespace cleanup
+# Noncharacters that stand for marks while lines are cleaned up: indentation,
+# and in code blocks space, tab and line end; bold mark; quote mark at a line's start.
+INDENT, SPACE, TAB, LINE, STRONG, QUOTE = "\ufdd0\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3", "\ufdd4", "\ufdd5"
 
 _SIMPLE = re.compile(r"^([a-z0-9]*)((?:[#.][A-Za-z0-9_-]+)*)(?:\[(\w+)='([^']*)'\])?$")
 
@@ -98,28 +108,32 @@ def _match_compound(n: Column, c: dict) -> Column:
     return cond
 
 
-def matches(n: Column, sel: str, nodes: Column) -> Column:
-    """Does node ``n`` match selector ``sel``?  Descendant parts are checked
-    against the ancestors in ``n.anc`` (``nodes`` is the page's node array)."""
+def all_matches(nodes: Column, sel: str) -> Column:
+    """The nodes that match selector ``sel``.
+
+    Descendant parts are tested by interval containment, for the few nodes
+    that match the last part.
+    """
     parts = selector_parts(sel)
-    cond = _match_compound(n, parts[-1])
-    for anc_part in parts[:-1]:
-        cond = cond & F.exists(n["anc"], _ancestor_matcher(nodes, anc_part))
-    return cond
+    found = _compound_matches(nodes, parts[-1])
+    for part in parts[:-1]:
+        found = F.filter(found, _inside_any(_compound_matches(nodes, part)))
+    return found
+
 
+def _compound_matches(nodes: Column, part: dict) -> Column:
+    return F.filter(nodes, lambda n: _match_compound(n, part))
 
-def _ancestor_matcher(nodes: Column, part: dict):
-    return lambda a: _match_compound(_at(nodes, a + 1), part)
 
+def _inside_any(outer: Column):
+    return lambda n: F.exists(outer, lambda a: (a["pos"] < n["pos"]) & (n["pos"] <= a["end"]))
 
-def matches_any(n: Column, selectors: list[str], nodes: Column) -> Column:
-    """Fast path for a list of simple selectors: set membership per kind."""
+
+def matches_any(n: Column, selectors: list[str]) -> Column:
+    """Does ``n`` match one of a list of selectors without descendant parts?  Set membership per kind."""
     simple = [selector_parts(s) for s in selectors]
     if any(len(p) > 1 for p in simple):
-        out = F.lit(False)
-        for s in selectors:
-            out = out | matches(n, s, nodes)
-        return out
+        raise ValueError("selectors with descendant parts need all_matches")
     tags = [p[0]["tag"] for p in simple if p[0]["tag"] and not p[0]["id"] and not p[0]["classes"] and not p[0]["role"]]
     ids = [p[0]["id"] for p in simple if p[0]["id"] and not p[0]["tag"]]
     classes = [p[0]["classes"][0] for p in simple if p[0]["classes"] and not p[0]["tag"] and not p[0]["id"]]
@@ -157,30 +171,28 @@ def text_of(nodes: Column, e: Column, kept_only: bool = True) -> Column:
 def remove_chrome(df: DataFrame, selectors: list[str] = REMOVE_SELECTORS, nodes_col: str = "nodes") -> DataFrame:
     """Mark every node inside an element matching a chrome selector.
 
-    Adds field ``k`` (kept) to every node.  Removed roots are found in one
-    pass; containment uses the node's ancestor list (O(depth) per node).
+    Adds field ``k`` (kept) to every node: it lies in none of the outermost
+    removed intervals.
     """
     nodes = F.col(nodes_col)
-    df = stage(df, _removed=F.transform(F.filter(nodes, lambda n: matches_any(n, selectors, nodes)),
-                                        lambda n: n["pos"]))
+    df = stage(df, _hits=F.transform(F.filter(nodes, lambda n: matches_any(n, selectors)),
+                                     lambda n: F.struct(n["pos"].alias("pos"), n["end"].alias("end"))))
+    hits = F.col("_hits")
+    df = stage(df, _removed=F.filter(hits, lambda r: ~F.exists(hits, lambda o: (o["pos"] < r["pos"]) & (r["pos"] <= o["end"]))))
     removed = F.col("_removed")
     kept = F.transform(nodes, lambda n: n.withField(
-        "k", ~F.coalesce(F.arrays_overlap(F.concat(n["anc"], F.array(n["pos"])), removed), F.lit(False))))
-    return stage(df, **{nodes_col: kept}).drop("_removed")
+        "k", ~F.exists(removed, lambda r: (r["pos"] <= n["pos"]) & (n["pos"] <= r["end"]))))
+    return stage(df, **{nodes_col: kept}).drop("_hits", "_removed")
 
 
 def _first(nodes: Column, pred) -> Column:
     return _at(F.filter(nodes, lambda n: n["k"] & pred(n)), 1)
 
 
-def _selector_pred(sel: str, nodes: Column):
-    return lambda n: matches(n, sel, nodes)
-
-
 def locate(df: DataFrame, nodes_col: str = "nodes", min_chars: int = MIN_ROOT_CHARS) -> DataFrame:
     """H04 + H05 + H16: slim title, content root / render range, author."""
     nodes = F.col(nodes_col)
-    cands = [_first(nodes, _selector_pred(s, nodes)) for s in CONTENT_SELECTORS]
+    cands = [_at(F.filter(all_matches(nodes, s), lambda n: n["k"]), 1) for s in CONTENT_SELECTORS]
     df = stage(
         df,
         _h1=_first(nodes, lambda n: n["tag"] == "h1"),
@@ -196,6 +208,7 @@ def locate(df: DataFrame, nodes_col: str = "nodes", min_chars: int = MIN_ROOT_CH
                                  & (X.utf16_length(U.js_trim(text_of(nodes, c))) > min_chars)), 1)
     df = stage(df, slim_title=F.coalesce(F.nullif(h1_text, F.lit("")), F.nullif(title_text, F.lit("")), F.lit("")),
                _root=root)
+    df = stage(df, root_chars=X.utf16_length(U.js_trim(text_of(nodes, F.col("_root")))))
     body = F.col("_body")
     r = F.col("_root")
     lo = F.when(r.isNotNull(), r["pos"]).when(body.isNotNull(), body["pos"] + 1).otherwise(F.lit(0))
@@ -204,124 +217,152 @@ def locate(df: DataFrame, nodes_col: str = "nodes", min_chars: int = MIN_ROOT_CH
     return stage(df, lo=lo, hi=hi, root_tag=tag).drop("_h1", "_title", "_body", "_cands", "_root")
 
 
-def _open_token(n: Column, nodes: Column, base: Column) -> Column:
+def _break(n: Column, lines: int) -> Column:
+    """Line ends with the quote marks of node ``n``; inside a table cell a space."""
+    return F.when(n["ctx"].bitwiseAND(CELL) != 0, F.lit(" ")).otherwise(
+        F.repeat(F.concat(F.lit("\n"), F.repeat(F.lit(QUOTE), n["quotes"])), F.lit(lines)))
+
+
+def _open_token(n: Column, base: Column) -> Column:
     t = n["tag"]
-    heading = None
-    for lvl, h in enumerate(HEADINGS, start=1):
-        heading = (heading.when(t == h, F.lit("\n\n" + "#" * lvl + " ")) if heading is not None
-                   else F.when(t == h, F.lit("\n\n" + "#" * lvl + " ")))
-    parent_tag = _node(nodes, n["parent"])["tag"]
-    list_depth = F.size(F.filter(n["anc"], lambda a: _node(nodes, a)["tag"].isin("ul", "ol")))
-    li = F.concat(F.lit("\n"), F.repeat(F.lit(PLACEHOLDER_INDENT), F.greatest(list_depth - 1, F.lit(0))),
-                  F.when(parent_tag == "ol", F.concat(n["idx"].cast("string"), F.lit(". "))).otherwise(F.lit("- ")))
+    level = F.when(t.isin(*HEADINGS), F.substring(t, 2, 1).try_cast("int"))
+    li = F.concat(_break(n, 1), F.repeat(F.lit(INDENT), F.greatest(n["lists"] - 1, F.lit(0))),
+                  F.when(n["ptag"] == "ol", F.concat(n["idx"].cast("string"), F.lit(". "))).otherwise(F.lit("- ")))
     img = F.when(F.coalesce(n["src"], F.lit("")) != "",
                  F.concat(F.lit("!["), F.coalesce(n["alt"], F.lit("")), F.lit("]("),
                           U.resolve_location_p(base, n["src"]), F.lit(")"))).otherwise(F.lit(""))
-    return (heading
+    return (F.when(level.isNotNull(), F.concat(_break(n, 2), F.repeat(F.lit("#"), level), F.lit(" ")))
             .when(t == "li", li)
-            .when(t == "blockquote", F.lit("\n\n> "))
-            .when(t == "pre", F.lit("\n\n```\n"))
-            .when(t == "br", F.lit("\n"))
-            .when(t == "hr", F.lit("\n\n---\n\n"))
+            .when(t == "pre", F.concat(_break(n, 2), F.lit("```" + LINE)))
+            .when(t == "br", _break(n, 1))
+            .when(t == "hr", F.concat(_break(n, 2), F.lit("---"), _break(n, 2)))
             .when(t == "img", img)
             .when(t == "a", F.when(n["href"].isNotNull(), F.lit("[")).otherwise(F.lit("")))
-            .when(t == "tr", F.lit("\n"))
+            .when(t == "tr", F.concat(_break(n, 1), F.lit("|")))
             .when(t.isin("td", "th"), F.lit(" "))
-            .when(t.isin(*BLOCKS), F.lit("\n\n"))
+            .when(t.isin(*BLOCKS), _break(n, 2))
             .otherwise(F.lit("")))
 
 
 def _close_token(e: Column, base: Column) -> Column:
     t = e["tag"]
+    rule = F.concat(_break(e, 1), F.lit("|"), F.repeat(F.lit(" --- |"), F.coalesce(e["cells"], F.lit(0))))
+    first_row = (e["idx"] == 1) & e["ptag"].isin("table", "thead")
     return (F.when(t == "a", F.when(e["href"].isNotNull(),
                                     F.concat(F.lit("]("), U.resolve_location_p(base, e["href"]), F.lit(")")))
                    .otherwise(F.lit("")))
-            .when(t == "pre", F.lit("\n```\n\n"))
-            .when(t.isin(*HEADINGS, *BLOCKS), F.lit("\n\n"))
+            .when(t == "pre", F.concat(F.lit(LINE + "```"), _break(e, 2)))
+            .when(t.isin("td", "th"), F.lit(" |"))
+            .when(t == "tr", F.when(first_row, rule).otherwise(F.lit("")))
+            .when(t == "blockquote", F.repeat(F.concat(F.lit("\n"), F.repeat(F.lit(QUOTE), e["quotes"] - 1)), F.lit(2)))
+            .when(t.isin(*HEADINGS, *BLOCKS), _break(e, 2))
             .otherwise(F.lit("")))
 
 
-def _text_token(n: Column, nodes: Column) -> Column:
-    def under(*tags):
-        return F.exists(n["anc"], lambda a: _node(nodes, a)["tag"].isin(*tags))
+def _text_token(n: Column) -> Column:
+    def inside(bit):
+        return n["ctx"].bitwiseAND(bit) != 0
 
-    in_pre = under("pre")
-    t = F.when(in_pre, n["text"]).otherwise(F.regexp_replace(n["text"], r"[\t\n\f\r ]+", " "))
+    code = F.translate(F.replace(n["text"], F.lit("\r\n"), F.lit("\n")), " \t\n\r", SPACE + TAB + LINE + LINE)
+    t = F.regexp_replace(n["text"], r"[\t\n\f\r ]+", " ")
     core = F.trim(t)
     lead = F.when(t.startswith(" "), F.lit(" ")).otherwise(F.lit(""))
     trail = F.when(t.endswith(" ") & (core != ""), F.lit(" ")).otherwise(F.lit(""))
-    b = F.when(under("b", "strong"), F.lit("**")).otherwise(F.lit(""))
-    i = F.when(under("i", "em"), F.lit("_")).otherwise(F.lit(""))
-    c = F.when(under("code") & ~in_pre, F.lit("`")).otherwise(F.lit(""))
-    return F.when(in_pre | (core == ""), t).otherwise(F.concat(lead, b, i, c, core, c, i, b, trail))
+    b = F.when(inside(BOLD), F.lit(STRONG)).otherwise(F.lit(""))
+    i = F.when(inside(ITALIC), F.lit("_")).otherwise(F.lit(""))
+    c = F.when(inside(CODE), F.lit("`")).otherwise(F.lit(""))
+    return F.when(inside(PRE), code).when(core == "", t).otherwise(F.concat(lead, b, i, c, core, c, i, b, trail))
 
 
 def render(df: DataFrame, nodes_col: str = "nodes", base_col: str = "base_parts") -> DataFrame:
-    """Markdown from the kept nodes of the render range.
+    """Markdown from the kept nodes of the render range, in one pass.
 
-    Each kept node emits the closing tokens of the elements that ended since
-    the previous kept node, then its own opening token or text — so an
-    element whose last descendant was removed still closes correctly.
+    Each node emits the closing tokens of the kept elements that end before
+    it, then, if kept, its own opening token or text.
     """
     nodes = F.col(nodes_col)
     base = F.col(base_col)
     lo, hi = F.col("lo"), F.col("hi")
-    sub = F.filter(F.slice(nodes, lo + 1, F.greatest(hi - lo + 1, F.lit(0))), lambda n: n["k"])
-    df = stage(df, _sub=sub)
+    df = stage(df, _sub=F.slice(nodes, lo + 1, F.greatest(hi - lo + 1, F.lit(0))))
     sub = F.col("_sub")
 
-    def closes(prev: Column, before: Column | None) -> Column:
-        chain = F.reverse(F.concat(prev["anc"], F.array(prev["pos"])))
-        ended = F.filter(chain, lambda a: (a >= lo) & ((_node(nodes, a)["end"] < before) if before is not None
-                                                        else F.lit(True)))
-        return F.array_join(F.transform(ended, lambda a: _close_token(_node(nodes, a), base)), "")
+    def closed(c: Column) -> Column:
+        e = _node(nodes, c)
+        return F.when((c >= lo) & e["k"], _close_token(e, base)).otherwise(F.lit(""))
 
-    tokens = F.transform(sub, lambda n, i: F.concat(
-        F.when(i > 0, closes(_at(sub, F.greatest(i, F.lit(1))), n["pos"])).otherwise(F.lit("")),
-        F.when(n["tag"] == TEXT, _text_token(n, nodes)).otherwise(_open_token(n, nodes, base))))
-    tail = F.when(F.size(sub) > 0, closes(_at(sub, -1), None)).otherwise(F.lit(""))
+    tokens = F.transform(sub, lambda n: F.concat(
+        F.coalesce(F.array_join(F.transform(n["closes"], closed), ""), F.lit("")),
+        F.when(~n["k"], F.lit("")).when(n["tag"] == TEXT, _text_token(n)).otherwise(_open_token(n, base))))
+    open_at_end = F.reverse(F.filter(sub, lambda e: e["k"] & (e["tag"] != TEXT) & (e["end"] >= hi)))
+    tail = F.array_join(F.transform(open_at_end, lambda e: _close_token(e, base)), "")
     raw = F.concat(F.array_join(tokens, ""), tail)
-    # Slimmed-document size (P16): text bytes plus start/end tags of kept elements.
-    slim = F.aggregate(sub, F.lit(0).cast("bigint"), lambda acc, n: acc + F.when(
-        n["tag"] == TEXT, F.octet_length(n["text"])).otherwise(2 * F.length(n["tag"]) + 5).cast("bigint"))
-    return stage(df, _raw_md=raw, slim_bytes=slim + 120 + F.octet_length(X.escape_html(F.col("slim_title")))).drop("_sub")
+    # Slimmed-document size (P16 / H06): frame, escaped title, and the kept nodes as written.
+    slim = F.aggregate(F.filter(sub, lambda n: n["k"]), F.lit(0).cast("bigint"), lambda acc, n: acc + F.when(
+        n["tag"] == TEXT, F.octet_length(X.escape_text(n["text"]))).otherwise(
+        n["raw"] + F.when(n["tag"].isin(*VOID), F.lit(0)).otherwise(F.octet_length(n["tag"]) + 3)).cast("bigint"))
+    frame = len(SLIM_FRAME) + F.octet_length(X.escape_html(F.col("slim_title")))
+    return stage(df, _raw_md=raw, slim_bytes=(slim + frame).cast("bigint")).drop("_sub")
 
 
 def clean_markdown(raw: Column) -> Column:
-    md = F.regexp_replace(raw, r"[ \t]+\n", "\n")
-    md = F.regexp_replace(md, r"\n[ \t]+", "\n")
-    md = X.collapse_blank_lines(md)
-    md = F.replace(md, F.lit("\u0001"), F.lit(" "))
-    md = F.replace(md, F.lit("****"), F.lit(""))
-    return U.js_trim(md)
+    """Lines of the raw rendering: blank runs to one blank line, quote marks
+    before every line of a quote, then the stand-ins to their characters."""
+    def line(x):
+        level = F.length(F.regexp_extract(x, f"^({QUOTE}*)", 1))
+        text = F.regexp_replace(F.regexp_replace(x, f"^{QUOTE}*[ \\t]+|^{QUOTE}+", ""), r"[ \t]+$", "")
+        return F.struct(level.alias("level"), text.alias("text"))
+
+    lines = F.transform(F.split(raw, "\n"), line)
+    # blank lines stay with the line after them
+    marked = F.transform(lines, lambda x, i: F.struct(
+        x["level"].alias("level"), x["text"].alias("text"),
+        F.coalesce((i > 0) & (_at(lines, F.greatest(i, F.lit(1)))["text"] == ""), F.lit(False)).alias("blank")))
+    return F.filter(marked, lambda x: x["text"] != "")
+
+
+def _joined(lines: Column) -> Column:
+    def prefix(level):
+        return F.repeat(F.lit("> "), level)
+
+    def one(x, i):
+        before = _at(lines, F.greatest(i, F.lit(1)))["level"]
+        gap = F.when(i == 0, F.lit("")).when(
+            x["blank"], F.concat(F.lit("\n"), F.rtrim(prefix(F.least(x["level"], before))), F.lit("\n"))).otherwise(F.lit("\n"))
+        return F.concat(gap, prefix(x["level"]), F.replace(x["text"], F.lit(LINE), F.concat(F.lit("\n"), prefix(x["level"]))))
+
+    md = F.array_join(F.transform(lines, one), "")
+    md = F.replace(md, F.lit(STRONG + STRONG), F.lit(""))
+    md = F.replace(md, F.lit(STRONG), F.lit("**"))
+    return U.js_trim(F.translate(md, INDENT[0] + SPACE + TAB, "  \t"))
 
 
 def finish(df: DataFrame, host: Column) -> DataFrame:
-    """Final Markdown, title, stats, error."""
-    df = stage(df, _md=clean_markdown(F.col("_raw_md")))
+    """Final Markdown, title, stats, and the
+    service's refusal as a flag (``error``); nothing is withheld."""
+    df = stage(df, _lines=clean_markdown(F.col("_raw_md")))
+    df = stage(df, _md=_joined(F.col("_lines")))
     md = F.col("_md")
-    error = (F.when(F.col("nodes").isNull(), F.lit("The page is larger than the 5 MB service limit."))
-             .when(F.col("slim_bytes") > MAX_SLIM_BYTES, F.lit("The page content is too large to convert after cleanup."))
-             .when(md == "", F.lit("Readable content could not be identified."))
-             .when(X.is_chrome_dump(md), F.lit("Readable content could not be isolated from page chrome.")))
+    error = (F.when(F.col("source_bytes") > MAX_SOURCE_BYTES, F.lit(ERROR_SOURCE_SIZE))
+             .when(F.col("slim_bytes") > MAX_SLIM_BYTES, F.lit(ERROR_SLIM_SIZE))
+             .when(md == "", F.lit(ERROR_NOTHING))
+             .when(X.is_chrome_dump(md), F.lit(ERROR_CHROME)))
     title = F.coalesce(F.nullif(F.col("slim_title"), F.lit("")), X.title_from_markdown(md, host))
     df = stage(df, error=error, title=title)
     markdown = F.concat(U.js_trim(X.ensure_heading(md, F.col("title"))), F.lit("\n"))
-    df = stage(df, markdown=F.when(F.col("error").isNull(), markdown))
+    df = stage(df, markdown=markdown)
     return df.select(
-        *[c for c in df.columns if c not in ("_raw_md", "_md", "markdown", "title")],
-        F.when(F.col("error").isNull(), F.col("title")).alias("title"),
-        "markdown",
+        *[c for c in df.columns if c not in ("_raw_md", "_md", "_lines")],
         X.word_count(F.col("markdown")).alias("words"),
         X.byte_length(F.col("markdown")).alias("markdown_bytes"),
     )
 
 
-def parse_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """S03 + H01: size-bounded parse.  Oversized bodies are kept as rows with
-    NULL nodes (and later an error), never dropped."""
+def parse_pages(pages: DataFrame, html_col: str = "html", declared_col: str | None = None) -> DataFrame:
+    """S03 + H01: parse with the size flag.  ``too_large``: the declared or
+    the actual size is over the service's limit; every page is parsed."""
     sized = pages.withColumn("source_bytes", F.octet_length(F.col(html_col)).cast("bigint"))
-    sized = sized.withColumn(html_col, F.when(F.col("source_bytes") <= MAX_SOURCE_BYTES, F.col(html_col)))
+    size = F.greatest(F.col("source_bytes"), F.col(declared_col)) if declared_col else F.col("source_bytes")
+    sized = sized.withColumn("too_large", F.coalesce(size > MAX_SOURCE_BYTES, F.lit(False)))
     return html_nodes(sized, html_col, "nodes")
 
 
@@ -334,28 +375,27 @@ def extract_html(pages: DataFrame, url_col: str = "final_url", html_col: str = "
     df = U.with_url_parts(parse_pages(pages, html_col), url_col, "base_parts")
     df = remove_chrome(df)
     df = locate(df)
-    df = render(df)
+    df = render(df).drop("nodes")
     return finish(df, F.col("base_parts.host"))
 
 
 def extract_markdown(docs: DataFrame, md_col: str, url_col: str) -> DataFrame:
-    """Native-Markdown normaliser — trim, reject empty/chrome, title,
-    heading guarantee, stats (bytes exclude the final newline)."""
+    """Native-Markdown normaliser — trim, title, heading guarantee, stats
+    (bytes exclude the final newline); empty or chrome is flagged in ``error``."""
     df = U.with_url_parts(docs, url_col, "base_parts")
     df = stage(df, _md=U.js_trim(F.col(md_col)))
     md = F.col("_md")
-    error = (F.when(md == "", F.lit("Empty Markdown."))
-             .when(X.is_chrome_dump(md), F.lit("Extraction returned page chrome instead of article content.")))
+    error = (F.when(md == "", F.lit(ERROR_EMPTY_MARKDOWN))
+             .when(X.is_chrome_dump(md), F.lit(ERROR_MARKDOWN_CHROME)))
     df = stage(df, error=error, _title=X.title_from_markdown(md, F.col("base_parts.host")))
     df = stage(df, _with_heading=X.ensure_heading(md, F.col("_title")))
     wh = F.col("_with_heading")
-    ok = F.col("error").isNull()
     return df.select(
         *[c for c in df.columns if c not in ("_md", "_title", "_with_heading", "base_parts")],
-        F.when(ok, F.col("_title")).alias("title"),
-        F.when(ok, F.concat(U.js_trim(wh), F.lit("\n"))).alias("markdown"),
-        F.when(ok, X.word_count(wh)).alias("words"),
-        F.when(ok, X.byte_length(wh)).alias("markdown_bytes"),
+        F.col("_title").alias("title"),
+        F.concat(U.js_trim(wh), F.lit("\n")).alias("markdown"),
+        X.word_count(wh).alias("words"),
+        X.byte_length(wh).alias("markdown_bytes"),
     )
 
 

@@ -2,14 +2,18 @@
 
 The only per-row Python in the document pipeline.  Each page's HTML is
 tokenised with the standard-library ``html.parser`` and folded into a
-pre-order node array: ``pos`` is the node's index, ``end`` the index of its
-last descendant, ``anc`` the positions of its ancestors (root first), so
-"inside element e" is ``e.pos < n.pos <= e.end`` and an element's text is a
-slice of the array.  Every later step (chrome removal, title, content root,
-Markdown) is a Spark expression over this array.
-
-The parse runs in ``mapInArrow``: Arrow batches in, Arrow batches out, no
-row-at-a-time serialisation; the HTML column is dropped right after parsing.
+pre-order node array: ``pos`` is the node's index and ``end`` the index of
+its last descendant, so "inside element e" is ``e.pos < n.pos <= e.end`` and
+an element's text is a slice of the array.  ``closes`` lists the elements
+that end just before a node (innermost first), and ``ctx`` / ``lists`` /
+``quotes`` carry what a node inherits, so nothing grows with depth.  Every
+later step (chrome removal, title, content root, Markdown) is a Spark
+expression over this array.
+
+The parse runs in ``mapInArrow``: Arrow batches in, Arrow batches out, cut to
+a bounded number of HTML bytes; the HTML column is dropped right after
+parsing.  A page the parser gives up on keeps the nodes built so far and says
+so in ``parse_error``.
 """
 
 from __future__ import annotations
@@ -32,7 +36,13 @@ NODE_TYPE = T.StructType([
     T.StructField("end", T.IntegerType()),
     T.StructField("depth", T.IntegerType()),
     T.StructField("parent", T.IntegerType()),
-    T.StructField("anc", T.ArrayType(T.IntegerType())),
+    T.StructField("ptag", T.StringType()),
+    T.StructField("closes", T.ArrayType(T.IntegerType())),
+    T.StructField("ctx", T.IntegerType()),
+    T.StructField("lists", T.IntegerType()),
+    T.StructField("quotes", T.IntegerType()),
+    T.StructField("cells", T.IntegerType()),
+    T.StructField("raw", T.IntegerType()),
     T.StructField("tag", T.StringType()),
     T.StructField("idx", T.IntegerType()),
     T.StructField("id", T.StringType()),
@@ -48,6 +58,10 @@ NODE_TYPE = T.StructType([
 NODES_TYPE = T.ArrayType(NODE_TYPE)
 
 TEXT = "#text"
+# Bits of ``ctx``: the node is inside (an element is also inside itself) …
+PRE, BOLD, ITALIC, CODE, CELL = 1, 2, 4, 8, 16
+_BITS = {"pre": PRE, "b": BOLD, "strong": BOLD, "i": ITALIC, "em": ITALIC, "code": CODE, "td": CELL, "th": CELL}
+BATCH_HTML_CHARS = 2_000_000     # HTML parsed before a batch is sent on
 
 # HTML void elements (never have children or an end tag).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -63,7 +77,8 @@ _ATTRS = ("id", "role", "href", "src", "alt", "name", "content")
 def _arrow_node_type() -> pa.DataType:
     return pa.list_(pa.struct([
         ("pos", pa.int32()), ("end", pa.int32()), ("depth", pa.int32()), ("parent", pa.int32()),
-        ("anc", pa.list_(pa.int32())), ("tag", pa.string()), ("idx", pa.int32()), ("id", pa.string()),
+        ("ptag", pa.string()), ("closes", pa.list_(pa.int32())), ("ctx", pa.int32()), ("lists", pa.int32()),
+        ("quotes", pa.int32()), ("cells", pa.int32()), ("raw", pa.int32()), ("tag", pa.string()), ("idx", pa.int32()), ("id", pa.string()),
         ("cls", pa.list_(pa.string())), ("role", pa.string()), ("href", pa.string()), ("src", pa.string()),
         ("alt", pa.string()), ("name", pa.string()), ("content", pa.string()), ("text", pa.string()),
     ]))
@@ -76,17 +91,24 @@ class _TreeBuilder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.nodes: list[dict] = []
         self.stack: list[int] = []
+        self.open: dict[str, int] = {}             # how many elements of a tag are open
         self.counts: dict[tuple[int, str], int] = {}
+        self.closing: list[int] = []
 
     # -- helpers -----------------------------------------------------------
     def _pop_to(self, i: int) -> None:
         """Close stack entries down to and including stack index ``i``."""
         last = len(self.nodes) - 1
-        for pos in self.stack[i:]:
-            self.nodes[pos]["end"] = last
+        for pos in reversed(self.stack[i:]):
+            node = self.nodes[pos]
+            node["end"] = last
+            self.open[node["tag"]] -= 1
+            self.closing.append(pos)
         del self.stack[i:]
 
     def _find_open(self, tags, stop=SCOPE) -> int:
+        if not any(self.open.get(t) for t in tags):
+            return -1
         for i in range(len(self.stack) - 1, -1, -1):
             t = self.nodes[self.stack[i]]["tag"]
             if t in tags:
@@ -95,14 +117,21 @@ class _TreeBuilder(HTMLParser):
                 return -1
         return -1
 
-    def _add(self, tag: str, attrs=None, text=None) -> int:
+    def _add(self, tag: str, attrs=None, text=None, raw=0) -> int:
         pos = len(self.nodes)
         parent = self.stack[-1] if self.stack else -1
+        up = self.nodes[parent] if self.stack else None
         key = (parent, tag)
         idx = self.counts.get(key, 0) + 1
         self.counts[key] = idx
-        node = {"pos": pos, "end": pos, "depth": len(self.stack), "parent": parent,
-                "anc": list(self.stack), "tag": tag, "idx": idx, "text": text, "cls": None}
+        node = {"pos": pos, "end": pos, "depth": len(self.stack), "parent": parent, "ptag": up and up["tag"],
+                "closes": self.closing or None, "tag": tag, "idx": idx, "text": text, "cls": None,
+                "ctx": (up["ctx"] if up else 0) | _BITS.get(tag, 0),
+                "lists": (up["lists"] if up else 0) + (up is not None and up["tag"] in ("ul", "ol")),
+                "quotes": (up["quotes"] if up else 0) + (tag == "blockquote"), "cells": None, "raw": raw}
+        self.closing = []
+        if tag in ("td", "th") and up is not None and up["tag"] == "tr":
+            up["cells"] = (up["cells"] or 0) + 1
         for a in _ATTRS:
             node[a] = None
         if attrs:
@@ -136,9 +165,10 @@ class _TreeBuilder(HTMLParser):
             i = self._find_open(("option",), {"select"})
             if i >= 0:
                 self._pop_to(i)
-        pos = self._add(tag, attrs)
+        pos = self._add(tag, attrs, raw=len((self.get_starttag_text() or "").encode()))
         if tag not in VOID:
             self.stack.append(pos)
+            self.open[tag] = self.open.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -146,7 +176,7 @@ class _TreeBuilder(HTMLParser):
             self._pop_to(len(self.stack) - 1)
 
     def handle_endtag(self, tag):
-        if tag in VOID:
+        if tag in VOID or not self.open.get(tag):
             return
         for i in range(len(self.stack) - 1, -1, -1):
             if self.nodes[self.stack[i]]["tag"] == tag:
@@ -158,7 +188,7 @@ class _TreeBuilder(HTMLParser):
             return
         parent = self.stack[-1] if self.stack else -1
         last = self.nodes[-1] if self.nodes else None
-        if last is not None and last["tag"] == TEXT and last["parent"] == parent:
+        if last is not None and last["tag"] == TEXT and last["parent"] == parent and not self.closing:
             last["text"] += data
             return
         self._add(TEXT, text=data)
@@ -169,34 +199,40 @@ class _TreeBuilder(HTMLParser):
         return self.nodes
 
 
-def parse_nodes(html: str | None) -> list[dict] | None:
-    """Parse one document into its pre-order node list."""
+def parse_nodes(html: str | None) -> tuple[list[dict] | None, str | None]:
+    """One document's pre-order node list, and the error that ended the parse early."""
     if html is None:
-        return None
+        return None, None
     b = _TreeBuilder()
     try:
         b.feed(html)
-        return b.finish()
-    except Exception:  # malformed beyond repair: keep what was built
+        return b.finish(), None
+    except Exception as e:  # malformed beyond repair: keep what was built, and say so
         b._pop_to(0)
-        return b.nodes
+        return b.nodes, f"{type(e).__name__}: {e}"
 
 
 def html_nodes(df: DataFrame, html_col: str = "html", out_col: str = "nodes") -> DataFrame:
-    """Replace ``html_col`` by its node array ``out_col`` (one pass, mapInArrow).
+    """Replace ``html_col`` by its node array ``out_col`` and ``parse_error`` (one pass, mapInArrow).
 
     All other columns pass through unchanged, so no join back is needed.
     """
-    keep = [f for f in df.schema.fields if f.name != html_col]
-    out_schema = T.StructType(keep + [T.StructField(out_col, NODES_TYPE)])
+    keep = [f for f in df.schema.fields if f.name not in (html_col, "parse_error")]
+    out_schema = T.StructType(keep + [T.StructField(out_col, NODES_TYPE), T.StructField("parse_error", T.StringType())])
     keep_names = [f.name for f in keep]
     arrow_type = _arrow_node_type()
 
     def run(batches):
         for batch in batches:
             htmls = batch.column(html_col).to_pylist()
-            nodes = pa.array([parse_nodes(h) for h in htmls], type=arrow_type)
-            cols = [batch.column(n) for n in keep_names] + [nodes]
-            yield pa.RecordBatch.from_arrays(cols, names=keep_names + [out_col])
+            first, chars = 0, 0
+            for i, html in enumerate(htmls):
+                chars += len(html or "")
+                if chars >= BATCH_HTML_CHARS or i == len(htmls) - 1:
+                    parsed = [parse_nodes(h) for h in htmls[first:i + 1]]
+                    cols = [batch.column(n).slice(first, i + 1 - first) for n in keep_names]
+                    cols += [pa.array([p[0] for p in parsed], type=arrow_type), pa.array([p[1] for p in parsed], pa.string())]
+                    yield pa.RecordBatch.from_arrays(cols, names=keep_names + [out_col, "parse_error"])
+                    first, chars = i + 1, 0
 
     return df.mapInArrow(run, out_schema)
