@@ -194,13 +194,21 @@ def _encode_set(c: Column, chars: dict[str, str]) -> Column:
     return c
 
 
+def _encode_non_ascii(c: Column) -> Column:
+    """Characters beyond ASCII as percent-encoded UTF-8."""
+    pieces = F.regexp_extract_all(c, F.lit(r"([\x00-\x7F]+|[^\x00-\x7F]+)"), F.lit(1))
+    encoded = F.transform(pieces, lambda p: F.when(p.rlike(r"^[^\x00-\x7F]"), F.url_encode(p)).otherwise(p))
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.array_join(encoded, "")).otherwise(c)
+
+
 _PATH_ENC = {" ": "%20", '"': "%22", "<": "%3C", ">": "%3E", "`": "%60", "{": "%7B", "}": "%7D"}
 _QUERY_ENC = {" ": "%20", '"': "%22", "<": "%3C", ">": "%3E", "'": "%27"}
 
 
 def _dot_segments(path: Column) -> Column:
     """Remove '.' and '..' path segments (as the WHATWG path parser does)."""
-    segs = F.slice(F.split(path, "/", -1), 2, 1 << 20)
+    parts = F.split(path, "/", -1)
+    segs = F.slice(parts, 2, F.size(parts))
     n = F.size(segs)
     dots = [".", "%2e"]
     dotdots = ["..", "%2e%2e", ".%2e", "%2e."]
@@ -226,8 +234,8 @@ def canonical_p(p: Column, reason: Column) -> Column:
     port_num = p["port"].try_cast("int")
     default = ((p["scheme"] == "http") & (port_num == 80)) | ((p["scheme"] == "https") & (port_num == 443))
     port = F.when((p["port"] == "") | default, F.lit("")).otherwise(F.concat(F.lit(":"), port_num.cast("string")))
-    path = F.when(p["path"] == "", F.lit("/")).otherwise(_dot_segments(_encode_set(p["path"], _PATH_ENC)))
-    query = F.coalesce(_encode_set(p["query"], _QUERY_ENC), F.lit(""))
+    path = F.when(p["path"] == "", F.lit("/")).otherwise(_dot_segments(_encode_non_ascii(_encode_set(p["path"], _PATH_ENC))))
+    query = F.coalesce(_encode_non_ascii(_encode_set(p["query"], _QUERY_ENC)), F.lit(""))
     url = F.concat(p["scheme"], F.lit("://"), p["host"], port, path, query)
     return F.when(reason.isNull(), url)
 
@@ -378,22 +386,9 @@ def route(url: Column) -> Column:
 
 def resolve_location(base: Column, loc: Column) -> Column:
     """``new URL(location, base)`` for absolute, scheme-relative,
-    root-relative, query-only, fragment-only and path-relative locations."""
-    p = url_parts(base)
-    origin = F.concat(p["scheme"], F.lit("://"),
-                      F.regexp_extract(p["input"], r"(?s)^[A-Za-z][A-Za-z0-9+.\-]*:[/\\]*([^/\\?#]*)", 1))
-    base_path = F.when(p["path"] == "", F.lit("/")).otherwise(p["path"])
-    base_dir = F.regexp_replace(base_path, r"[^/]*$", "")
-    l = js_trim(loc)
-    return (
-        F.when(l.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), l)
-        .when(l.startswith("//"), F.concat(p["scheme"], F.lit(":"), l))
-        .when(l.startswith("/"), F.concat(origin, l))
-        .when(l.startswith("?"), F.concat(origin, base_path, l))
-        .when(l.startswith("#"), F.concat(origin, base_path, F.coalesce(p["query"], F.lit("")), l))
-        .when(l == "", F.concat(origin, base_path, F.coalesce(p["query"], F.lit(""))))
-        .otherwise(F.concat(origin, base_dir, l))
-    )
+    root-relative, query-only, fragment-only and path-relative locations;
+    ``.`` and ``..`` segments are resolved."""
+    return resolve_location_p(url_parts(base), loc)
 
 
 def is_scanner_path(path: Column) -> Column:
@@ -410,16 +405,25 @@ def is_scanner_path(path: Column) -> Column:
 def resolve_location_p(p: Column, loc: Column) -> Column:
     """U11 with the base URL given as staged parts ``p`` (an attribute), for
     use inside per-node lambdas where the base is constant per page."""
-    origin = F.concat(p["scheme"], F.lit("://"), p["host"])
+    port = F.when(p["port"] == "", F.lit("")).otherwise(F.concat(F.lit(":"), p["port"]))
+    origin = F.concat(p["scheme"], F.lit("://"), p["host"], port)
     base_path = path_p(p)
     base_dir = F.regexp_replace(base_path, r"[^/]*$", "")
+    query = F.coalesce(p["query"], F.lit(""))
     l = js_trim(loc)
+    path = F.regexp_extract(l, r"(?s)^([^?#]*)", 1)
+    rest = F.substring(l, F.length(path) + 1, F.length(l))
+    absolute = F.when(l.startswith("//"), F.concat(p["scheme"], F.lit(":"), l)).otherwise(l)
+    head = F.regexp_extract(absolute, r"(?is)^(https?://[^/?#]*)", 1)
+    tail = F.substring(absolute, F.length(head) + 1, F.length(absolute))
+    tail_path = F.regexp_extract(tail, r"(?s)^([^?#]*)", 1)
     return (
-        F.when(l.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), l)
-        .when(l.startswith("//"), F.concat(p["scheme"], F.lit(":"), l))
-        .when(l.startswith("/"), F.concat(origin, l))
+        F.when(l.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:") | l.startswith("//"),
+               F.when(head == "", absolute).otherwise(
+                   F.concat(head, _dot_segments(tail_path), F.substring(tail, F.length(tail_path) + 1, F.length(tail)))))
+        .when(l.startswith("/"), F.concat(origin, _dot_segments(path), rest))
         .when(l.startswith("?"), F.concat(origin, base_path, l))
-        .when(l.startswith("#"), F.concat(origin, base_path, F.coalesce(p["query"], F.lit("")), l))
-        .when(l == "", F.concat(origin, base_path, F.coalesce(p["query"], F.lit(""))))
-        .otherwise(F.concat(origin, base_dir, l))
+        .when(l.startswith("#"), F.concat(origin, base_path, query, l))
+        .when(l == "", F.concat(origin, base_path, query))
+        .otherwise(F.concat(origin, _dot_segments(F.concat(base_dir, path)), rest))
     )

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import is_empty, staged
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first())
+def _staged_edges(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as a table, and their number with a sum of hashes."""
+    seen = Observation()
+    table = staged(edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_000_007).alias("s")), "edges")
+    return table, (seen.get["n"], seen.get["s"])
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -24,8 +27,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     size.
     """
     ends = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    now = staged(ends.distinct(), "edges")
-    before, state = None, _state(now)
+    now, state = _staged_edges(ends.distinct())
+    before = None
     for _ in range(max_rounds):
         if state[0] == 0 or state == before:
             break
@@ -37,55 +40,72 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        now = staged(small, "edges")
-        before, state = state, _state(now)
+        before = state
+        now, state = _staged_edges(small)
     return (now.select(F.col("u").alias("id"), F.col("v").alias("component"))
-            .unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct())
+            .unionByName(now.select("v").distinct().select(F.col("v").alias("id"), F.col("v").alias("component"))))
 
 
-def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], name: str, max_rounds: int = 6) -> DataFrame:
+def linked(members: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], reach: float, name: str,
+           max_rounds: int = 4, pairs_a_row: int = 64) -> DataFrame:
     """Links (u, v) that connect all ids which are similar and share a list.
 
-    ``members`` has (list, id).  ``verify`` takes pairs (a, b) and returns the
-    same pairs with ``link`` (similar) and ``near``: false only where the
-    distance is surely over twice the linking distance.
+    ``members`` has (list, id, size): the size of the id's set.  Ids are
+    similar up to the Jaccard distance ``reach``.  ``prepare`` gets the ids
+    that share a list and returns ``verify``, which takes pairs (a, b) and
+    returns them with ``distance``, null only where it is surely over twice
+    ``reach``.
 
     Not all pairs of a list are compared.  Each list's members are compared
-    with its smallest id.  Jaccard distance is a metric, so a member that is
-    not ``near`` the smallest id is not similar to any member linked with it;
-    members that are near but not linked are compared with the linked ones.
-    Those that are not linked form the list of the next round.  So a large
-    group of near copies costs one comparison a copy, and no link that would
-    join two components is lost.  Once few pairs are left all are compared.
+    with its hub, the member whose lists are the largest: of a group of near
+    copies that is the text they come from.  The distance is a metric, so two
+    members are not similar if their distances from the hub differ by more
+    than ``reach``: members near the hub but not linked to it are compared with
+    those linked members that this leaves.  Members that are not linked form
+    the list of the next round.  So a large group of near copies costs one
+    comparison a copy, and no link that would join two components is lost.
+    Once at most ``pairs_a_row`` pairs a row are left, those of fitting sizes
+    are compared.
     """
-    found = []
+    found, verify = [], None
+
+    def links(pairs: DataFrame) -> None:
+        near = verify(pairs).where(F.col("distance") <= reach)
+        found.append(staged(near.select(F.col("a").alias("u"), F.col("b").alias("v")), name))
+
     for at in range(max_rounds):
-        lists = members.groupBy("list").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
-        star = staged(members.join(lists.select("list", "hub"), "list"), name)
-        size = star.where("id <> hub").groupBy("list").count().agg(
-            F.sum("count"), F.sum(F.col("count") * (F.col("count") + 1) / 2)).first()
+        lists = members.groupBy("list").agg(F.count("*").alias("n")).where("n > 1")
+        rows = staged(members.join(lists, "list"), name)
+        size = rows.agg(F.count("*"), F.sum((F.col("n") - 1) / 2)).first()
         if not size[0]:
             break
-        few = at > 0 and size[1] <= 16 * size[0] or at == max_rounds - 1
-        if few:
-            left, right = star.select("list", F.col("id").alias("a")), star.select("list", F.col("id").alias("b"))
-            pairs = left.join(right, "list").where("a < b").select("a", "b").distinct()
-            found.append(staged(verify(pairs).where("link").select(F.col("a").alias("u"), F.col("b").alias("v")), name))
+        if verify is None:
+            verify = prepare(rows.select("id").distinct())
+        if size[1] <= size[0] or at and size[1] <= pairs_a_row * size[0] or at == max_rounds - 1:
+            left = rows.select("list", F.col("id").alias("a"), F.col("size").alias("sa"))
+            right = rows.select("list", F.col("id").alias("b"), F.col("size").alias("sb"))
+            fit = (F.col("a") < F.col("b")) & (F.least("sa", "sb") >= (1 - reach) * F.greatest("sa", "sb"))
+            links(left.join(right, (left["list"] == right["list"]) & fit).select("a", "b").distinct())
             break
-        pairs = star.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-        judged = staged(verify(pairs).select(F.col("a").alias("hub"), F.col("b").alias("id"), "link", "near"), name)
-        found.append(judged.where("link").select(F.col("hub").alias("u"), F.col("id").alias("v")))
-        told = star.where("id <> hub").join(judged, ["hub", "id"], "left")
-        told = staged(told.select("list", "id", F.coalesce("link", F.lit(False)).alias("link"),
-                                  F.coalesce("near", F.lit(False)).alias("near")), name)
-        between = told.where("near and not link").select("list", F.col("id").alias("x")).join(
-            told.where("link").select("list", F.col("id").alias("y")), "list")
-        pairs = between.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        found.append(staged(verify(pairs).where("link").select(F.col("a").alias("u"), F.col("b").alias("v")), name))
-        members = told.where("not link").select("list", "id")
+        # an id is in as many lists as its sketch has runs
+        rows = rows.withColumn("weight", F.sum("n").over(Window.partitionBy("id"))).select("list", "id", "size", "weight")
+        hubs = rows.groupBy("list").agg(F.max(F.struct("weight", (-F.col("id")).alias("m"))).alias("top"))
+        hubs = hubs.select("list", (-F.col("top.m")).alias("hub"))
+        star = staged(rows.join(hubs, "list").where("id <> hub").select("list", "id", "size", "hub"), name)
+        judged = verify(star.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
+        judged = staged(judged.select(F.col("a").alias("hub"), F.col("b").alias("id"), "distance"), name)
+        link = judged.where(F.col("distance") <= reach)
+        found.append(link.select(F.col("hub").alias("u"), F.col("id").alias("v")))
+        middle = judged.where((F.col("distance") > reach) & (F.col("distance") <= 2 * reach + 1e-9))
+        if not is_empty(middle):
+            between = (middle.select("hub", F.col("id").alias("x"), F.col("distance").alias("dx"))
+                       .join(link.select("hub", F.col("id").alias("y"), F.col("distance").alias("dy")), "hub")
+                       .where(F.col("dx") - F.col("dy") <= reach + 1e-9))
+            links(between.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        members = star.join(link.select("hub", "id"), ["hub", "id"], "left_anti").select("list", "id", "size")
     if not found:
         return members.select(F.col("id").alias("u"), F.col("id").alias("v")).where("false")
-    links = found[0]
+    out = found[0]
     for more in found[1:]:
-        links = links.unionByName(more)
-    return links.distinct()
+        out = out.unionByName(more)
+    return out

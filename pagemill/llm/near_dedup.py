@@ -26,6 +26,7 @@ from .common import documents, query, staged
 from .graph import components, linked
 
 SKETCH = 64
+BROADCAST_IDS = 500_000      # documents whose ids (8 bytes each) go to all tasks; beyond, a join
 RUN = 4
 SPACES = [0x20, *range(0x09, 0x0E)]
 
@@ -122,38 +123,41 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, words_a_shingle: int =
             .withColumn("run", F.explode(F.when(F.col("n_shingles") <= 5, F.array(*map(F.lit, (RUN - 2, RUN - 1, RUN))))
                                          .when(F.col("n_shingles") <= 15, F.array(F.lit(RUN - 1), F.lit(RUN)))
                                          .otherwise(F.array(F.lit(RUN)))))
-            .select("id", F.explode(F.transform(at, lambda i: F.xxhash64(F.slice("sketch", i, F.col("run"))))).alias("list")))
-
-    sketches = reps.select("id", "n_shingles", "sketch")
-
-    def sets(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        return docs.join(ids, "doc_id", "left_semi").mapInArrow(_whole_sets(words_a_shingle), "id long, set array<long>")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        sa = sketches.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("ska"))
-        sb = sketches.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("skb"))
-        union = F.slice(F.array_sort(_unsigned(F.array_union("ska", "skb"))), 1, k)
-        shared = F.size(F.array_intersect(F.array_intersect(_unsigned("ska"), _unsigned("skb")), F.col("u")))
-        told = (pairs.join(sa, "a").join(sb, "b").withColumn("u", union)
-                .select("a", "b", "na", "nb", (shared / F.size("u")).alias("estimate")))
-        # six standard deviations of the estimate below twice the linking distance: surely not near
-        far = 2 * threshold / 100 - 1
-        margin = 6 * (far * (1 - far) / k) ** 0.5
-        told = told.withColumn("near", (F.col("estimate") >= far - margin) & (
-            F.least("na", "nb") >= far * F.greatest("na", "nb")))
-        told = staged(told, "op3")
-        close = told.where("near")
-        full = sets(close)
-        both = F.size(F.array_intersect("sa", "sb")).cast("long")
-        exact = (close.join(full.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
-                 .join(full.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-                 .select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb") - both).alias("all"))
-                 .groupBy("a", "b").agg(F.max(100 * F.col("both") >= threshold * F.col("all")).alias("link"),
-                                        F.max(F.col("both") >= far * F.col("all")).alias("near")))
-        return exact.unionByName(told.where("not near").select("a", "b", F.lit(False).alias("link"), "near"))
-
-    links = linked(keys, verify, "op3")
+            .select("id", F.col("n_shingles").alias("size"),
+                    F.explode(F.transform(at, lambda i: F.xxhash64(F.slice("sketch", i, F.col("run"))))).alias("list")))
+
+    # far: similarity at twice the linking distance; six standard deviations of the estimate below it is surely farther
+    far = 2 * threshold / 100 - 1
+    margin = 6 * (far * (1 - far) / k) ** 0.5
+
+    def prepare(ids: DataFrame):
+        """The sketches and full sets of the documents that share a list, read once."""
+        ids = staged(ids, "op3")
+        wanted = ids.withColumnRenamed("id", "doc_id")
+        wanted = F.broadcast(wanted) if ids.count() <= BROADCAST_IDS else wanted
+        sets = staged(docs.join(wanted, "doc_id", "left_semi")
+                      .mapInArrow(_whole_sets(words_a_shingle), "id long, set array<long>"), "op3")
+        return verifier(reps.select("id", "n_shingles", "sketch"), sets)
+
+    def verifier(sketches: DataFrame, sets: DataFrame):
+        def verify(pairs: DataFrame) -> DataFrame:
+            sa = sketches.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("ska"))
+            sb = sketches.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("skb"))
+            union = F.slice(F.array_sort(_unsigned(F.array_union("ska", "skb"))), 1, k)
+            shared = F.size(F.array_intersect(F.array_intersect(_unsigned("ska"), _unsigned("skb")), union))
+            estimate = shared / F.least(F.size(F.array_union("ska", "skb")), F.lit(k))
+            close = (F.least("na", "nb") >= far * F.greatest("na", "nb")) & (estimate >= far - margin)
+            told = staged(pairs.join(sa, "a").join(sb, "b").select("a", "b", close.alias("close")), "op3")
+            common = F.size(F.array_intersect("sa", "sb"))
+            exact = (told.where("close").join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
+                     .join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+                     .select("a", "b", (1 - common / (F.size("sa") + F.size("sb") - common)).alias("distance")))
+            return exact.unionByName(told.where("not close").select("a", "b", F.lit(None).cast("double").alias("distance")))
+
+        return verify
+
+    # a distance that rounding leaves just over the limit is still within it
+    links = linked(keys, prepare, 1 - threshold / 100 + 1e-9, "op3")
     found = components(links)
     by_class = classes.drop("n").join(found.withColumnRenamed("id", "rep"), "rep", "left").select(
         *same, F.coalesce("component", "rep").alias("component"))

@@ -19,18 +19,30 @@ MAX_REDIRECTS = 5          # fixed value: redirects followed per request
 MAX_BEACON_BYTES = 128     # fixed value: beacon payload limit
 
 
+def _decoded(c):
+    """Form-decoded; a value with a malformed escape stays as it is."""
+    return F.coalesce(F.try_url_decode(c), c)
+
+
+def json_string(body, field: str):
+    """The top-level string ``field`` of a JSON object; null if the text is
+    not one JSON value, or the field is absent or not a string."""
+    whole = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]")))        # no text may follow the value
+    value = F.try_variant_get(whole, f"$[0].{field}", "variant")
+    one = F.try_variant_get(whole, "$[1]", "variant").isNull()
+    return F.when(one & (F.schema_of_variant(value) == "STRING"), F.try_variant_get(whole, f"$[0].{field}", "string"))
+
+
 def request_url(method, request_url, content_type, body):
     """The URL a request submitted — GET query param ``url``, POST JSON
     string field ``url``, other POST form field ``url``; anything else ''."""
     q = F.regexp_extract(request_url, r"[?&]url=([^&#]*)", 1)
-    get_val = F.when(request_url.rlike(r"[?&]url="), F.url_decode(q)).otherwise(F.lit(""))
-    json_val = F.coalesce(F.get_json_object(body, "$.url"), F.lit(""))
-    json_is_str = F.get_json_object(body, "$.url").isNotNull() & F.regexp_replace(body, r"\s", "").rlike(r'"url":"')
+    get_val = F.when(request_url.rlike(r"[?&]url="), _decoded(q)).otherwise(F.lit(""))
+    json_val = F.coalesce(json_string(body, "url"), F.lit(""))
     form_raw = F.regexp_extract(body, r"(?:^|&)url=([^&]*)", 1)
-    form_val = F.when(body.rlike(r"(?:^|&)url="), F.url_decode(form_raw)).otherwise(F.lit(""))
+    form_val = F.when(body.rlike(r"(?:^|&)url="), _decoded(form_raw)).otherwise(F.lit(""))
     return (F.when(method == "GET", get_val)
-            .when(method == "POST", F.when(content_type.contains("application/json"),
-                                           F.when(json_is_str, json_val).otherwise(F.lit("")))
+            .when(method == "POST", F.when(content_type.contains("application/json"), json_val)
                   .otherwise(form_val))
             .otherwise(F.lit("")))
 
@@ -86,20 +98,21 @@ def resolve_redirects(starts: DataFrame, edges: DataFrame, max_hops: int = MAX_R
     — bounded by the fixed redirect limit, no recursion and no union of
     re-computed branches.  At scale each hop is one shuffle join keyed on the
     current node.  The request at hop ``max_hops`` that still redirects is the
-    one that fails with "too many redirects".
+    one that fails with "too many redirects"; ``final`` is the last node reached.
     """
     cur = starts.select(F.col("start"), F.col("start").alias("n0"))
     for i in range(max_hops + 1):
-        e = edges.select(F.col("src").alias(f"_s{i}"), F.col("dst").alias(f"n{i + 1}"))
-        cur = cur.join(e, cur[f"n{i}"] == e[f"_s{i}"], "left").drop(f"_s{i}")
+        # ended chains get keys of their own that no edge has, so they spread over all partitions
+        e = edges.select(F.col("src").cast("string").alias(f"_s{i}"), F.col("dst").alias(f"n{i + 1}"))
+        key = F.coalesce(F.col(f"n{i}").cast("string"), F.concat(F.lit("~"), F.col("start").cast("string")))
+        cur = cur.withColumn("_key", key)
+        cur = cur.join(e, cur["_key"] == e[f"_s{i}"], "left").drop(f"_s{i}", "_key")
     last = max_hops + 1
     hops = sum((F.col(f"n{i}").isNotNull().cast("int") for i in range(1, last + 1)), F.lit(0))
     too_many = F.col(f"n{last}").isNotNull()
     final = F.element_at(F.array(*[F.col(f"n{i}") for i in range(last + 1)]), (hops + 1))
     return cur.select(
-        "start",
-        F.when(too_many, F.lit(None).cast("bigint")).otherwise(final).alias("final"),
-        F.when(too_many, F.lit(max_hops + 1)).otherwise(hops).cast("bigint").alias("hops"),
+        "start", final.alias("final"), hops.cast("bigint").alias("hops"),
         F.when(too_many, F.lit("TOO_MANY")).otherwise(F.lit("OK")).alias("status"),
     )
 
@@ -130,16 +143,14 @@ def classify_log(log: DataFrame) -> DataFrame:
 def beacon_status(b: DataFrame) -> DataFrame:
     """404 (wrong method/origin/fetch site) → 413 (declared, then actual
     size > 128) → 400 (not JSON / event or page not allowed) → 204."""
-    ev = F.get_json_object("body", "$.event")
-    pg = F.get_json_object("body", "$.page")
-    ev_is_str = F.col("body").rlike(r'"event"\s*:\s*"')
-    pg_is_str = F.col("body").rlike(r'"page"\s*:\s*"')
+    ev, pg = json_string(F.col("body"), "event"), json_string(F.col("body"), "page")
     length16 = (F.octet_length(F.encode(F.col("body"), "UTF-16LE")) / 2).cast("bigint")
-    status = (F.when((F.col("method") != "POST") | (F.col("origin") != SITE_ORIGIN)
-                     | (F.col("sec_fetch_site").isNotNull() & (F.col("sec_fetch_site") != "same-origin")), F.lit(404))
+    site = F.coalesce(F.col("sec_fetch_site"), F.lit(""))
+    status = (F.when((F.col("method") != "POST") | ~F.col("origin").eqNullSafe(SITE_ORIGIN)
+                     | ~site.isin("", "same-origin"), F.lit(404))
               .when(F.col("content_length") > MAX_BEACON_BYTES, F.lit(413))
               .when(length16 > MAX_BEACON_BYTES, F.lit(413))
-              .when(ev_is_str & ev.isin(*U.BROWSER_EVENTS) & pg_is_str & pg.isin(*U.BROWSER_PAGES), F.lit(204))
+              .when(F.coalesce(ev.isin(*U.BROWSER_EVENTS) & pg.isin(*U.BROWSER_PAGES), F.lit(False)), F.lit(204))
               .otherwise(F.lit(400)))
     return b.withColumn("event", ev).withColumn("page", pg).withColumn("status", status)
 

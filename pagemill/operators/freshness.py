@@ -4,10 +4,9 @@ F11, F13, R07, A09, O01–O05).
 Skew: a single URL (cache key) or actor may carry a third of all requests.
 None of these operators gathers a whole key into one task:
 
-* latest-row-per-key uses ``max_by`` — a partial aggregate, so each task
+* latest-row-per-key is a partial aggregate on narrow columns, so each task
   forwards one row per key before the shuffle;
-* the request replay (previous request per key) windows over
-  (key, day) and stitches day boundaries with a per-(key, day) aggregate;
+* the as-of lookup joins requests with the key's few stored versions;
 * the admission cap (first N per actor and window) is an exact two-stage
   top-N: rank inside salted sub-groups, keep N per sub-group, rank again.
 """
@@ -48,11 +47,18 @@ def age_seconds(fetched_at: Column, now: Column) -> Column:
 
 
 def latest_per_key(rows: DataFrame, key: str = "cache_key", order: str = "fetched_at") -> DataFrame:
-    """The last-written row per key (ties: larger page_id)."""
-    cols = [c for c in rows.columns if c != key]
-    tiebreak = [c for c in ("page_id",) if c in cols]
-    best = F.max_by(F.struct(*cols), F.struct(F.col(order), *[F.col(c) for c in tiebreak]))
-    return rows.groupBy(key).agg(best.alias("_r")).select(key, "_r.*")
+    """The last-written row per key (ties: larger page_id, which
+    must then tell the rows apart).
+
+    The winner is found on narrow columns (hash aggregates with map-side
+    partials); the documents are only filtered by it.
+    """
+    last = rows.groupBy(key).agg(F.max(order).alias(order))
+    if "page_id" not in rows.columns:
+        return rows.join(last, [key, order], "left_semi").select(rows.columns)
+    ties = rows.select(key, order, "page_id").join(last, [key, order])
+    winner = ties.groupBy(key, order).agg(F.max("page_id").alias("page_id"))
+    return rows.join(winner, [key, order, "page_id"], "left_semi").select(rows.columns)
 
 
 def read_store(store: DataFrame, as_of: Column) -> DataFrame:
@@ -67,11 +73,12 @@ def read_store(store: DataFrame, as_of: Column) -> DataFrame:
 
 def upsert_store(store: DataFrame, new: DataFrame) -> DataFrame:
     """Last write per key wins; object metadata carries the source URL
-    cut to 1024 characters and the version as text."""
+    (whole, and as the service's label of 1024 characters) and the version as text."""
     merged = latest_per_key(store.unionByName(new))
     return merged.select(
         "*",
-        F.substring("source_url", 1, SOURCE_URL_META_CHARS).alias("meta_source_url"),
+        F.col("source_url").alias("meta_source_url"),
+        F.substring("source_url", 1, SOURCE_URL_META_CHARS).alias("meta_source_label"),
         F.col("version").cast("string").alias("meta_version"),
         F.date_format("expires_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("meta_expires_at"),
     )
@@ -82,29 +89,22 @@ def retain(store: DataFrame, as_of: Column, days: int = RETENTION_DAYS) -> DataF
     return store.where(F.col("fetched_at") > as_of - F.make_dt_interval(F.lit(days)))
 
 
-def replay_cache(requests: DataFrame, key: str = "cache_key", ts: str = "ts", tie: str = "event_id",
-                 ttl_seconds_value: int = DEFAULT_TTL_SECONDS) -> DataFrame:
-    """Replay a request log against the shared cache.
+def replay_cache(requests: DataFrame, store: DataFrame, key: str = "cache_key", ts: str = "ts", tie: str = "event_id") -> DataFrame:
+    """As-of lookup of a request log in the stored results.
 
-    The previous request for the same key (as-of, strictly earlier in
-    (ts, tie) order) decides the status: none → MISS, within the TTL → HIT,
-    older → STALE.  Windows run per (key, day) so a hot key is spread over
-    its days; the previous day's last request is stitched in from a
-    per-(key, day) aggregate (one row per key-day).
+    A request meets the latest result of its key that was fetched by then:
+    none → MISS, not yet expired → HIT, expired → STALE.  A key has one stored
+    version per extraction, so the equi-join yields a few rows a request and
+    hot request keys are split by the adaptive skew join.
     """
-    r = requests.withColumn("_day", F.to_date(F.col(ts)))
-    w = Window.partitionBy(key, "_day").orderBy(ts, tie)
-    r = r.withColumn("_prev_in_day", F.lag(ts).over(w))
-    days = r.groupBy(key, "_day").agg(F.max(ts).alias("_last"))
-    dw = Window.partitionBy(key).orderBy("_day")
-    days = days.withColumn("_prev_day_last", F.lag("_last").over(dw)).drop("_last")
-    r = r.join(days, [key, "_day"], "left")
-    prev = F.coalesce(F.col("_prev_in_day"), F.col("_prev_day_last"))
-    gap = F.unix_micros(F.col(ts)) - F.unix_micros(prev)
-    status = (F.when(prev.isNull(), F.lit("MISS"))
-              .when(gap < ttl_seconds_value * 1_000_000, F.lit("HIT"))
-              .otherwise(F.lit("STALE")))
-    return r.withColumn("prev_ts", prev).withColumn("cache_status", status).drop("_day", "_prev_in_day", "_prev_day_last")
+    r = requests.select(key, ts, tie)
+    s = store.select(F.col(key).alias("_key"), "fetched_at", "expires_at")
+    met = r.join(s, (F.col(key) == F.col("_key")) & (F.col("fetched_at") <= F.col(ts)))
+    last = met.groupBy(tie).agg(F.max("fetched_at").alias("fetched_at"), F.max_by("expires_at", "fetched_at").alias("expires_at"))
+    out = requests.join(last, tie, "left")
+    status = (F.when(F.col("fetched_at").isNull(), F.lit("MISS"))
+              .when(F.col("expires_at") > F.col(ts), F.lit("HIT")).otherwise(F.lit("STALE")))
+    return out.withColumn("cache_status", status)
 
 
 def admit_misses(requests: DataFrame, actor: Column, window: str = ADMISSION_WINDOW,

@@ -53,7 +53,7 @@ def block_line(type_: Column, text: Column, depth: Column, number: Column) -> Co
     return (heading
             .when(type_ == UNORDERED, F.concat(indent, F.lit("- "), t))
             .when(type_ == ORDERED, F.concat(indent, number.cast("string"), F.lit(". "), t))
-            .when(type_ == "blockquote", F.regexp_replace(t, r"(?m)^", "> "))
+            .when(type_ == "blockquote", F.concat(F.lit("> "), F.replace(t, F.lit("\n"), F.lit("\n> "))))
             .when(type_ == "code-block", F.concat(F.lit("```\n"), t, F.lit("\n```")))
             .otherwise(t))
 

@@ -45,10 +45,12 @@ def rollup_usage(events: DataFrame) -> DataFrame:
     return e.groupBy(*KEYS).agg(F.count("*").alias("event_count"), *[F.sum(m).alias(m) for m in MEASURES])
 
 
-def merge_usage(base: DataFrame, partials: DataFrame) -> DataFrame:
+def merge_usage(base: DataFrame, partials: DataFrame | None = None) -> DataFrame:
     """Union old and new counters and re-sum (exact: all measures add)."""
     cols = KEYS + ["event_count"] + MEASURES
-    u = base.select(*cols).unionByName(partials.select(*cols))
+    u = base.select(*cols)
+    if partials is not None:
+        u = u.unionByName(partials.select(*cols))
     return u.groupBy(*KEYS).agg(*[F.sum(m).cast("bigint").alias(m) for m in ["event_count"] + MEASURES])
 
 
@@ -144,12 +146,17 @@ def percentage_change(cur: Column, prev: Column) -> Column:
     """'0%' / 'new' when previous is 0, else the change with one decimal
     (exact integer arithmetic, ties away from zero as JS toFixed does)."""
     d = cur - prev
-    tenths = F.floor((F.abs(d) * 2000 + prev) / (2 * prev)).cast("bigint")
+    tenths = int_div(F.abs(d) * 2000 + prev, 2 * prev)
     sign = F.when(d < 0, F.lit("-")).otherwise(F.lit(""))
-    txt = F.concat(sign, (tenths / 10).cast("bigint").cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit("%"))
+    txt = F.concat(sign, int_div(tenths, F.lit(10)).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit("%"))
     return F.when(prev == 0, F.when(cur == 0, F.lit("0%")).otherwise(F.lit("new"))).otherwise(txt)
 
 
+def int_div(a: Column, b: Column) -> Column:
+    """Integer division of BIGINTs (null by zero), without a detour over doubles."""
+    return F.call_function("div", a.cast("bigint"), F.nullif(b.cast("bigint"), F.lit(0).cast("bigint")))
+
+
 def report_table(summary: DataFrame, metrics: list[tuple[str, str]]) -> DataFrame:
     """Unpivot a per-period summary into (metric, current,
     previous, change) rows — one pass, conditional aggregation, no cross join."""

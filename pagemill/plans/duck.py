@@ -124,13 +124,18 @@ def encode_set(e: str, chars: dict[str, str]) -> str:
     return e
 
 
+def encode_non_ascii(e: str) -> str:
+    return (f"array_to_string(list_transform(regexp_extract_all({e}, '[\\x00-\\x7F]+|[^\\x00-\\x7F]+'), "
+            "lambda x: case when regexp_matches(x, '^[^\\x00-\\x7F]') then url_encode(x) else x end), '')")
+
+
 def canonical_url(raw: str) -> str:
     """Requires u_* columns. Dot segments are not removed here: the base
     tables carry none (hand rows in pytest cover them)."""
     default = "((u_scheme = 'http' and try_cast(u_port as integer) = 80) or (u_scheme = 'https' and try_cast(u_port as integer) = 443))"
     port = f"(case when u_port = '' or {default} then '' else ':' || cast(try_cast(u_port as integer) as varchar) end)"
-    path = f"(case when u_path = '' then '/' else {encode_set('u_path', U._PATH_ENC)} end)"
-    query = f"coalesce({encode_set('u_query', U._QUERY_ENC)}, '')"
+    path = f"(case when u_path = '' then '/' else {encode_non_ascii(encode_set('u_path', U._PATH_ENC))} end)"
+    query = f"coalesce({encode_non_ascii(encode_set('u_query', U._QUERY_ENC))}, '')"
     return f"(case when {rejection_reason(raw)} is null then u_scheme || '://' || u_host || {port} || {path} || {query} end)"
 
 

@@ -52,13 +52,13 @@ _NEW = (f"select * replace (fetched_at + to_days(10) as fetched_at, fetched_at +
         f"title || ' (refresh)' as title) from ({_STORE}) where page_id % 4 = 0")
 
 
-@register("q_store_upsert", "K01 W04 T06",
+@register("q_store_upsert", "K01 W04",
           f"select cache_key, title, strftime(fetched_at, '{TS_FMT_DUCK}') as fetched_at, "
-          f"substr(source_url, 1, 1024) as meta_source_url, cast(version as varchar) as meta_version "
+          f"source_url as meta_source_url, substr(source_url, 1, 1024) as meta_source_label, cast(version as varchar) as meta_version "
           f"from ({d_latest(f'select * from ({_STORE}) union all select * from ({_NEW})')})")
 def q_store_upsert(spark, d):
     u = R.upsert_store(FX.result_store(spark, d), _new_results(spark, d))
-    return u.select("cache_key", "title", _ts("fetched_at").alias("fetched_at"), "meta_source_url", "meta_version")
+    return u.select("cache_key", "title", _ts("fetched_at").alias("fetched_at"), "meta_source_url", "meta_source_label", "meta_version")
 
 
 @register("q_retention", "R07",
@@ -113,12 +113,13 @@ _ADM = (f"{_REQ}, a as (select event_id, ts, actor, {D.cache_key(D.canonical_url
 
 
 @register("q_cache_replay", "J03 W05",
-          f"""{_ADM}
-select event_id, case when prev is null then 'MISS'
-  when epoch_us(ts) - epoch_us(prev) < cast({R.DEFAULT_TTL_SECONDS} as bigint) * 1000000 then 'HIT' else 'STALE' end as cache_status
-from (select *, lag(ts) over (partition by cache_key order by ts, event_id) as prev from a)""")
+          f"""{_ADM}, s as ({_STORE})
+select a.event_id, case when m.fetched_at is null then 'MISS' when m.expires_at > a.ts then 'HIT' else 'STALE' end as cache_status
+from a left join (
+  select event_id, max(s.fetched_at) as fetched_at, max(s.expires_at) as expires_at
+  from a join s on s.cache_key = a.cache_key and s.fetched_at <= a.ts group by event_id) m on m.event_id = a.event_id""")
 def q_cache_replay(spark, d):
-    r = R.replay_cache(_admitted(spark, d))
+    r = R.replay_cache(_admitted(spark, d), FX.result_store(spark, d))
     return r.select("event_id", "cache_status")
 
 

@@ -29,7 +29,7 @@ select e.event_id, e.ts, e.user_id as actor, p.page_id,
     when 12 then concat('http://printer', cast(e.k % 9 as varchar), '.local/')
     when 13 then concat('http://100.', cast(60 + e.k % 10 as varchar), '.0.1/')
     when 14 then 'http://169.254.169.254/latest/meta-data'
-    when 15 then 'https://example.com:443/a'
+    when 15 then 'https://example.com:443/é/東 a?q=ñ&b=1'
     when 16 then 'not a url'
     when 17 then concat('https://twitter.com/i/status/', cast(e.event_id as varchar))
     when 18 then concat('  ', p.url, '  ')
@@ -164,6 +164,8 @@ def beacons() -> str:
     name = f"{_arr(names)}[event_id % {len(names)} + 1]"
     page = f"{_arr(pages)}[cast(floor(event_id / 7) as bigint) % {len(pages)} + 1]"
     body = f"""(case when event_id % 23 = 0 then '{{not json'
+      when event_id % 41 = 0 then '{{"event":"' || {name} || '","page":"' || {page} || '"}} junk'
+      when event_id % 43 = 0 then ''
       when event_id % 29 = 0 then '{{"event":"' || {name} || '","page":"' || {page} || '","pad":"' || repeat('x', 120) || '"}}'
       when event_id % 31 = 0 then '{{"event":1,"page":"home"}}'
       else '{{"event":"' || {name} || '","page":"' || {page} || '"}}' end)"""
@@ -173,8 +175,8 @@ select event_id, ts, method, origin, sec_fetch_site,
 from (
   select event_id, ts,
     case when event_type = 'error' then 'GET' else 'POST' end as method,
-    case when event_id % 17 = 0 then 'https://evil.example' else '{SITE_ORIGIN}' end as origin,
-    case when event_id % 13 = 0 then 'cross-site' when event_id % 2 = 0 then 'same-origin' end as sec_fetch_site,
+    case when event_id % 17 = 0 then 'https://evil.example' when event_id % 19 = 0 then null else '{SITE_ORIGIN}' end as origin,
+    case when event_id % 13 = 0 then 'cross-site' when event_id % 3 = 0 then '' when event_id % 2 = 0 then 'same-origin' end as sec_fetch_site,
     {body} as body
   from events
 )

@@ -29,7 +29,7 @@ n as (
 _LINE = """(case when type = 'header-one' then '## ' || text
   when type = 'ordered-list-item' then repeat('  ', cast(greatest(depth, 0) as integer)) || cast(list_number as varchar) || '. ' || text
   when type = 'unordered-list-item' then repeat('  ', cast(greatest(depth, 0) as integer)) || '- ' || text
-  when type = 'blockquote' then regexp_replace(text, '(?m)^', '> ', 'g')
+  when type = 'blockquote' then '> ' || replace(text, chr(10), chr(10) || '> ')
   when type = 'code-block' then '```' || chr(10) || text || chr(10) || '```'
   else text end)"""
 
@@ -55,7 +55,7 @@ def q_block_lines(spark, d):
     return r.select(F.col("doc_id").alias("conv_id"), F.col("pos").alias("turn"), "line", "blank_before")
 
 
-@register("q_article_markdown", "X19 F04 F05 X20",
+@register("q_article_markdown", "X19 F04 F05",
           f"""with {_LINES.strip()}
 select conv_id, count(*) as lines,
   {D.js_trim("regexp_replace(string_agg(case when blank_before then chr(10) else '' end || line, chr(10) order by turn), '\\n{3,}', chr(10) || chr(10), 'g')")} as markdown
@@ -65,7 +65,7 @@ def q_article_markdown(spark, d):
     return X.assemble(r, "doc_id", "pos").select(F.col("doc_id").alias("conv_id"), "lines", "markdown")
 
 
-@register("q_best_variant", "X12 T03 J05",
+@register("q_best_variant", "X12 T03",
           f"""select media_id, url from (select *, row_number() over (partition by media_id
   order by coalesce(bit_rate, 0) desc, variant_id asc) as rn from ({OF.MEDIA_VARIANTS}) where contains(content_type, 'video')) where rn = 1""")
 def q_best_variant(spark, d):
@@ -73,7 +73,7 @@ def q_best_variant(spark, d):
 
 
 def _posts(spark, d):
-    c = read_table(spark, d, "conversations").where(F.col("turn") == 0)
+    c = read_table(spark, d, "conversations")
     cid = F.col("conv_id").cast("string")
     media = (F.when(F.col("conv_id") % 3 == 0, F.array(F.struct(F.lit("photo").alias("type"),
                      F.concat(F.lit("https://img.example.org/"), cid, F.lit(".jpg")).alias("url"),
@@ -84,7 +84,7 @@ def _posts(spark, d):
              .otherwise(F.array(F.struct(F.lit("photo").alias("type"), F.lit(None).cast("string").alias("url"),
                                          F.lit("no url").alias("alt")))))
     return c.select(
-        "conv_id", "text", media.alias("media"),
+        "conv_id", "turn", "text", media.alias("media"),
         F.when(F.col("conv_id") % 4 == 0, F.lit(None)).otherwise(F.concat(F.lit("Person "), cid)).alias("name"),
         F.when(F.col("conv_id") % 5 == 0, F.lit(None)).otherwise(F.concat(F.lit("user"), cid)).alias("screen_name"),
     )
@@ -102,10 +102,10 @@ def _post_sql():
     text = D.js_trim("coalesce(text, '')")
     body = (f"concat_ws(chr(10) || chr(10), '# ' || {title}, '**' || {author} || '**', "
             f"case when {text} <> '' then {text} end, {media})")
-    return (f"select conv_id, {title} as title, {author} as author, {D.js_trim(body)} || chr(10) as markdown "
-            f"from conversations where turn = 0")
+    return (f"select conv_id, turn, {title} as title, {author} as author, {D.js_trim(body)} || chr(10) as markdown "
+            f"from conversations")
 
 
 @register("q_post_markdown", "X02 X03 X04 D10 D18", _post_sql)
 def q_post_markdown(spark, d):
-    return X.render_post(_posts(spark, d)).select("conv_id", "title", "author", "markdown")
+    return X.render_post(_posts(spark, d)).select("conv_id", "turn", "title", "author", "markdown")

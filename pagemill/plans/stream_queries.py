@@ -8,14 +8,13 @@ from pagemill.plans.usage_queries import d_rollup
 from pagemill.streaming import streams as S
 
 
-@register("q_stream_usage", "R01 R06 A02", d_rollup)
+@register("q_stream_usage", "R01 A02", d_rollup)
 def q_stream_usage(spark, d):
     return S.stream_usage(spark, d)
 
 
 @register("q_stream_daily", "R05",
-          """select strftime(cast(ts as date), '%Y-%m-%d') as day, event_type, count(*) as n from events
-where cast(ts as date) + interval 1 day <= (select max(ts) from events) - interval 1 day
+          """select strftime(cast(ts as date), '%Y-%m-%d') as day, event_type, cast(count(*) as bigint) as n from events
 group by 1, 2""")
 def q_stream_daily(spark, d):
     return S.stream_daily(spark, d)

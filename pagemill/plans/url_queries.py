@@ -179,11 +179,11 @@ def _beacon_sql():
     pgs = ", ".join(D.q(x) for x in U.BROWSER_PAGES)
     return f"""
 select event_id, case
-  when method <> 'POST' or origin <> '{FX.SITE_ORIGIN}' or (sec_fetch_site is not null and sec_fetch_site <> 'same-origin') then 404
+  when method <> 'POST' or origin is distinct from '{FX.SITE_ORIGIN}' or coalesce(sec_fetch_site, '') not in ('', 'same-origin') then 404
   when content_length > 128 then 413
   when length(body) > 128 then 413
-  when regexp_matches(body, '"event"\\s*:\\s*"') and {ev} in ({evs})
-       and regexp_matches(body, '"page"\\s*:\\s*"') and {pg} in ({pgs}) then 204
+  when json_valid(body) and try(json_type(body, '$.event')) = 'VARCHAR' and {ev} in ({evs})
+       and try(json_type(body, '$.page')) = 'VARCHAR' and {pg} in ({pgs}) then 204
   else 400 end as status
 from ({OF.beacons()})"""
 
@@ -205,8 +205,8 @@ select event, page, count(*) as n from (
 
 @register("q_beacon_allow", "J07", _beacon_allow_sql)
 def q_beacon_allow(spark, d):
-    b = FX.beacons(spark, d).select(F.get_json_object("body", "$.event").alias("event"),
-                                    F.get_json_object("body", "$.page").alias("page"))
+    body = F.col("body")
+    b = FX.beacons(spark, d).select(A.json_string(body, "event").alias("event"), A.json_string(body, "page").alias("page"))
     events, pages = A.allow_lists(spark)
     # The allow-lists are fixed 8 / 5 row tables: broadcasting them is bounded.
     ok = b.join(F.broadcast(events), "event", "left_semi").join(F.broadcast(pages), "page", "left_semi")
@@ -244,8 +244,8 @@ def q_fetch_list(spark, d):
 
 def _loc_variant(pid):
     s = pid.cast("string")
-    m = pid % 6
-    return (F.when(m == 0, F.concat(F.lit("https://moved.example.org/p/"), s))
+    m = pid % 8
+    return (F.when(m == 6, F.concat(F.lit("../p/"), s)).when(m == 7, F.concat(F.lit("./a/../p/"), s)).when(m == 0, F.concat(F.lit("https://moved.example.org/p/"), s))
             .when(m == 1, F.concat(F.lit("/p/"), s))
             .when(m == 2, F.concat(F.lit("//cdn.example.org/p/"), s))
             .when(m == 3, F.concat(F.lit("p/"), s, F.lit("?x=1")))
@@ -254,7 +254,7 @@ def _loc_variant(pid):
 
 
 def _redirect_resolve_sql():
-    loc = """(case page_id % 6 when 0 then 'https://moved.example.org/p/' || cast(page_id as varchar)
+    loc = """(case page_id % 8 when 6 then '../p/' || cast(page_id as varchar) when 7 then './a/../p/' || cast(page_id as varchar) when 0 then 'https://moved.example.org/p/' || cast(page_id as varchar)
       when 1 then '/p/' || cast(page_id as varchar) when 2 then '//cdn.example.org/p/' || cast(page_id as varchar)
       when 3 then 'p/' || cast(page_id as varchar) || '?x=1' when 4 then '?page=' || cast(page_id as varchar)
       else '#frag' || cast(page_id as varchar) end)"""
@@ -271,6 +271,8 @@ select page_id, location, case
   when starts_with(location, '/') then {origin} || location
   when starts_with(location, '?') then {origin} || {bpath} || location
   when starts_with(location, '#') then {origin} || {bpath} || coalesce(u_query, '') || location
+  when starts_with(location, '../') then {origin} || regexp_replace({bdir}, '[^/]+/$', '') || substr(location, 4)
+  when starts_with(location, './') then {origin} || {bdir} || replace(substr(location, 3), 'a/../', '')
   else {origin} || {bdir} || location end as resolved
 from p"""
 
@@ -294,7 +296,7 @@ def _redirects_sql():
     last = nodes[-1]
     final = "case " + " ".join(f"when ({hops}) = {i} then {nodes[i]}" for i in range(len(nodes) - 1)) + " end"
     return f"""
-select start, case when {last} is not null then null else {final} end as final,
+select start, case when {last} is not null then {last} else {final} end as final,
   cast(case when {last} is not null then {A.MAX_REDIRECTS + 1} else {hops} end as bigint) as hops,
   case when {last} is not null then 'TOO_MANY' else 'OK' end as status
 from (select page_id as start, page_id as n0 from pages) s

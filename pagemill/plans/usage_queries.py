@@ -35,8 +35,12 @@ def d_period(day: str) -> str:
             + " end")
 
 
-def _rollup(spark, d):
-    return G.rollup_usage(FX.usage_events(spark, d))
+def _rollup(spark, d, start: str | None = None, end: str | None = None):
+    """Daily rollup; with bounds only the days from start up to end are read (the bounds reach the scan)."""
+    return G.rollup_usage(FX.usage_events(spark, d, start, end))
+
+
+FIRST, LAST = min(lo for lo, _ in P.values()), max(hi for _, hi in P.values())
 
 
 @register("q_usage_daily", "A01 K02 F10 F14 D8", d_rollup())
@@ -55,7 +59,7 @@ def q_usage_merge(spark, d):
 @register("q_usage_range", "S08 T01",
           f"select * from ({d_rollup()}) where day >= '2024-01-10' and day < '2024-01-20'")
 def q_usage_range(spark, d):
-    return G.usage_range(_rollup(spark, d), "2024-01-10", "2024-01-20")
+    return G.usage_range(_rollup(spark, d, "2024-01-10", "2024-01-20"), "2024-01-10", "2024-01-20")
 
 
 def _http_log(spark, d):
@@ -74,7 +78,7 @@ def _http_log(spark, d):
 _CUR = P["current"]
 
 
-@register("q_http_groups", "S09 A08 P21 T05",
+@register("q_http_groups", "S09 A08 P21",
           f"""select path, status, count(*) as n, cast(sum(case when event_type = 'view' then 1 else 0 end) as bigint) as visits
 from (select *, case event_id % 4 when 0 then '/' when 1 then '/api/extract' when 2 then '/api/markdown' else '/md' end as path,
         case event_type when 'error' then case when event_id % 2 = 0 then 502 else 400 end when 'signup' then 308 else 200 end as status
@@ -86,8 +90,7 @@ def q_http_groups(spark, d):
     lo, hi = _CUR
     f = log.where((F.col("ts") >= F.lit(lo).cast("timestamp")) & (F.col("ts") < F.lit(hi).cast("timestamp"))
                   & (F.col("request_source") == "eyeball") & F.col("path").isin(*G.REPORT_PATHS))
-    return f.groupBy("path", "status").agg(F.count("*").alias("n"), F.sum("visit").cast("bigint").alias("visits")) \
-        .limit(10000)
+    return f.groupBy("path", "status").agg(F.count("*").alias("n"), F.sum("visit").cast("bigint").alias("visits"))
 
 
 def _http_summary_sql():
@@ -107,7 +110,7 @@ group by period"""
 
 @register("q_http_summary", "A03 E01 F16 W07", _http_summary_sql)
 def q_http_summary(spark, d):
-    return G.http_summary(FX.http_groups(spark, d))
+    return G.http_summary(FX.http_groups(spark, d, FIRST, LAST))
 
 
 def _first_party_sql():
@@ -135,16 +138,16 @@ group by period"""
 
 @register("q_first_party", "A04", _first_party_sql)
 def q_first_party(spark, d):
-    return G.first_party(_rollup(spark, d))
+    return G.first_party(_rollup(spark, d, FIRST, LAST))
 
 
-@register("q_loads_by_source", "A05 F18",
+@register("q_loads_by_source", "A05",
           f"""select period, case when source = '' then 'unknown' else source end as source,
   cast(sum(event_count) as bigint) as page_loads
 from (select *, {d_period('day')} as period from ({d_rollup()}))
 where period is not null and event_name = 'browser_page_view' group by 1, 2""")
 def q_loads_by_source(spark, d):
-    return G.loads_by_source(_rollup(spark, d))
+    return G.loads_by_source(_rollup(spark, d, FIRST, LAST))
 
 
 def _tenths(num: str, den: str) -> str:
@@ -165,21 +168,21 @@ from h join f on h.period = f.period"""
 
 def tenths_text(num, den):
     """Percentage num/den with one decimal, ties away from zero (toFixed(1))."""
-    t = F.floor((num * 2000 + den) / (2 * den)).cast("bigint")
-    return F.concat((t / 10).cast("bigint").cast("string"), F.lit("."), (t % 10).cast("string"))
+    t = G.int_div(num * 2000 + den, 2 * den)
+    return F.concat(G.int_div(t, F.lit(10)).cast("string"), F.lit("."), (t % 10).cast("string"))
 
 
 @register("q_rates", "A06", _rates_sql)
 def q_rates(spark, d):
-    h = G.http_summary(FX.http_groups(spark, d))
-    f = G.first_party(_rollup(spark, d))
+    h = G.http_summary(FX.http_groups(spark, d, FIRST, LAST))
+    f = G.first_party(_rollup(spark, d, FIRST, LAST))
     j = h.join(f, "period")
     a, c = F.col("api_attempts"), F.col("conversion_attempts")
     return j.select(
         "period",
         F.when(a > 0, tenths_text(F.col("api_successes"), a)).alias("endpoint_2xx_rate"),
         F.when(c > 0, tenths_text(F.col("conversion_successes"), c)).alias("success_rate"),
-        F.when(c > 0, F.floor((2 * F.col("duration_ms") + c) / (2 * c)).cast("bigint")).alias("avg_latency_ms"),
+        F.when(c > 0, G.int_div(2 * F.col("duration_ms") + c, 2 * c)).alias("avg_latency_ms"),
     )
 
 
@@ -202,12 +205,12 @@ def _report_sql(summary_sql: str, metrics) -> str:
 
 @register("q_report_http", "K06 J09 F15", lambda: _report_sql(_http_summary_sql(), G.HTTP_METRICS))
 def q_report_http(spark, d):
-    return G.report_table(G.http_summary(FX.http_groups(spark, d)), G.HTTP_METRICS)
+    return G.report_table(G.http_summary(FX.http_groups(spark, d, FIRST, LAST)), G.HTTP_METRICS)
 
 
 @register("q_report_first_party", "K06 J09 F15", lambda: _report_sql(_first_party_sql(), G.FIRST_PARTY_METRICS))
 def q_report_first_party(spark, d):
-    return G.report_table(G.first_party(_rollup(spark, d)), G.FIRST_PARTY_METRICS)
+    return G.report_table(G.first_party(_rollup(spark, d, FIRST, LAST)), G.FIRST_PARTY_METRICS)
 
 
 @register("q_period_change", "F15 W05",
@@ -231,7 +234,6 @@ from (select unnest(generate_series(date '{SPINE[0]}', date '{SPINE[1]}' - inter
 left join ({d_rollup()}) r on r.day = strftime(s.d, '%Y-%m-%d') group by 1""")
 def q_day_spine(spark, d):
     spine = G.day_spine(spark, *SPINE)
-    totals = _rollup(spark, d).groupBy("day").agg(F.sum("event_count").alias("events"))
-    # Per-day totals have one row per calendar day: the broadcast side is bounded by days, not events.
-    return spine.join(F.broadcast(totals), "day", "left").select(
+    totals = _rollup(spark, d, *SPINE).groupBy("day").agg(F.sum("event_count").alias("events"))
+    return spine.join(totals, "day", "left").select(
         "day", F.coalesce(F.col("events"), F.lit(0)).cast("bigint").alias("events"))

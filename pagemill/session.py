@@ -44,8 +44,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    On a cluster this must be a shared filesystem; we only invent a local
-    folder when nothing is configured (tests, local bench).
+    On a cluster this must be a shared filesystem, and a missing setting is an
+    error; a local master may go without it (tests, local bench).
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -55,6 +55,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="pagemill-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)

@@ -50,7 +50,7 @@ def url_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(m == 12, F.concat(F.lit("http://printer"), s(k % 9), F.lit(".local/")))
         .when(m == 13, F.concat(F.lit("http://100."), s(60 + k % 10), F.lit(".0.1/")))
         .when(m == 14, F.lit("http://169.254.169.254/latest/meta-data"))
-        .when(m == 15, F.lit("https://example.com:443/a"))
+        .when(m == 15, F.lit("https://example.com:443/\u00e9/\u6771 a?q=\u00f1&b=1"))
         .when(m == 16, F.lit("not a url"))
         .when(m == 17, F.concat(F.lit("https://twitter.com/i/status/"), s(F.col("event_id"))))
     )
@@ -64,9 +64,16 @@ def url_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
                     method.alias("method"), raw.alias("raw_url"))
 
 
-def usage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _between(ev: DataFrame, start: str | None, end: str | None) -> DataFrame:
+    """Events of the days from ``start`` up to ``end``."""
+    if start is not None:
+        ev = ev.where(F.col("ts") >= F.lit(start).cast("timestamp"))
+    return ev if end is None else ev.where(F.col("ts") < F.lit(end).cast("timestamp"))
+
+
+def usage_events(spark: SparkSession, sf_dir: str, start: str | None = None, end: str | None = None) -> DataFrame:
     """F2 (full 7-key grain): one usage event per base event."""
-    return usage_events_from(read_events(spark, sf_dir))
+    return usage_events_from(_between(read_events(spark, sf_dir), start, end))
 
 
 def usage_events_from(ev: DataFrame) -> DataFrame:
@@ -105,9 +112,9 @@ def usage_events_from(ev: DataFrame) -> DataFrame:
     )
 
 
-def http_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+def http_groups(spark: SparkSession, sf_dir: str, start: str | None = None, end: str | None = None) -> DataFrame:
     """edge HTTP log grouped by (day, path, status) with count and visits."""
-    ev = read_events(spark, sf_dir)
+    ev = _between(read_events(spark, sf_dir), start, end)
     eid, et = F.col("event_id"), F.col("event_type")
     path = (F.when(eid % 4 == 0, F.lit("/")).when(eid % 4 == 1, F.lit("/api/extract"))
             .when(eid % 4 == 2, F.lit("/api/markdown")).otherwise(F.lit("/md")))
@@ -234,13 +241,16 @@ def beacons(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.element_at(F.array(*[F.lit(x) for x in names]), (eid % len(names) + 1).cast("int"))
     page = F.element_at(F.array(*[F.lit(x) for x in pages]), (F.floor(eid / 7) % len(pages) + 1).cast("int"))
     body = (F.when(eid % 23 == 0, F.lit("{not json"))
+            .when(eid % 41 == 0, F.concat(F.lit('{"event":"'), name, F.lit('","page":"'), page, F.lit('"} junk')))
+            .when(eid % 43 == 0, F.lit(""))
             .when(eid % 29 == 0, F.concat(F.lit('{"event":"'), name, F.lit('","page":"'), page,
                                           F.lit('","pad":"'), F.repeat(F.lit("x"), 120), F.lit('"}')))
             .when(eid % 31 == 0, F.lit('{"event":1,"page":"home"}'))
             .otherwise(F.concat(F.lit('{"event":"'), name, F.lit('","page":"'), page, F.lit('"}'))))
     method = F.when(et == "error", F.lit("GET")).otherwise(F.lit("POST"))
-    origin = F.when(eid % 17 == 0, F.lit("https://evil.example")).otherwise(F.lit(SITE_ORIGIN))
-    fetch_site = (F.when(eid % 13 == 0, F.lit("cross-site")).when(eid % 2 == 0, F.lit("same-origin")))
+    origin = F.when(eid % 17 == 0, F.lit("https://evil.example")).when(eid % 19 == 0, F.lit(None)).otherwise(F.lit(SITE_ORIGIN))
+    fetch_site = (F.when(eid % 13 == 0, F.lit("cross-site")).when(eid % 3 == 0, F.lit(""))
+                  .when(eid % 2 == 0, F.lit("same-origin")))
     declared = F.when(eid % 37 == 0, F.lit(4096)).otherwise(F.length(body)).cast("bigint")
     return ev.select("event_id", "ts", method.alias("method"), origin.alias("origin"),
                      fetch_site.alias("sec_fetch_site"), declared.alias("content_length"), body.alias("body"))
