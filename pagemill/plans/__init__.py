@@ -2,7 +2,7 @@
 
 from pagemill.plans import (  # noqa: F401
     capture_queries, doc_queries, freshness_queries, post_queries, site_queries, stream_queries, url_queries,
-    usage_queries,
+    usage_queries, wiki_queries,
 )
 from pagemill.plans.registry import OPERATORS, ORACLES, QUERIES
 

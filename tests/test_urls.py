@@ -1,9 +1,9 @@
-"""URL admission cases from the reference's URL tests, plus properties."""
+"""URL admission rules on addresses of our own, plus properties."""
 
 from pyspark.sql import functions as F
 
 from pagemill.functions import urls as U
-from pagemill.operators.admission import admit
+from pagemill.operators import admission as A
 
 
 def _one(spark, col_fn, values, schema="v string"):
@@ -11,75 +11,89 @@ def _one(spark, col_fn, values, schema="v string"):
     return [r[0] for r in df.select(col_fn(F.col("v"))).collect()]
 
 
-def test_normalize_removes_fragment_and_lowercases_host(spark):
-    assert _one(spark, U.canonical_url, ["https://EXAMPLE.com/article?q=1#comments"]) == ["https://example.com/article?q=1"]
+def test_canonical_form(spark):
+    vals = ["HTTPS://Garden.Example/Beds?row=2#late", "http://g.example:80/x/./y/../z", "https://g.example/a/b/..", "HTTP://G.EXAMPLE",
+            "https://g.example/été/日?q=ñ", "https://g.example/a b\"c"]
+    assert _one(spark, U.canonical_url, vals) == [
+        "https://garden.example/Beds?row=2", "http://g.example/x/z", "https://g.example/a/", "http://g.example/",
+        "https://g.example/%C3%A9t%C3%A9/%E6%97%A5?q=%C3%B1", "https://g.example/a%20b%22c"]
 
 
-def test_rejects_unsafe_urls(spark):
-    bad = ["http://localhost/test", "http://127.0.0.1/test", "http://169.254.169.254/latest/meta-data",
-           "http://10.0.0.4/test", "file:///tmp/example"]
-    reasons = _one(spark, U.rejection_reason, bad)
-    assert all(r is not None for r in reasons)
-    assert reasons[-1] == "scheme"
-
-
-def test_reason_order(spark):
-    vals = ["", "not a url", "ftp://x.org/", "https://u:p@x.org/", "http://x.org:8080/", "http://a.internal/",
-            "https://x.org:443/a", "http://[::1]/", "https://@x.org/"]
+def test_reasons_in_order(spark):
+    vals = ["", "no address", "gopher://g.example/", "https://me:pw@g.example/", "http://g.example:8443/", "http://db.internal/",
+            "https://g.example:443/a", "http://[::1]/", "https://@g.example/", "http://192.168.7.1/", "http://LOCALHOST./"]
     assert _one(spark, U.rejection_reason, vals) == [
-        "missing_url", "unparseable", "scheme", "credentials", "port", "private", None, "private", None]
+        "missing_url", "unparseable", "scheme", "credentials", "port", "private", None, "private", None, "private", "private"]
 
 
 def test_private_addresses(spark):
-    vals = ["10.0.0.1", "::1", "1.1.1.1", "2606:4700:4700::1111", "dyna.wikimedia.org."]
-    assert _one(spark, U.private_address, vals) == [True, True, False, False, True]
-
-
-def test_mapped_and_reserved_ranges(spark):
-    vals = ["::ffff:10.0.0.1", "::ffff:8.8.8.8", "100.64.0.1", "198.19.1.1", "224.0.0.1", "fe80::1", "2001:db8::1"]
-    assert _one(spark, U.private_address, vals) == [True, False, True, True, True, True, True]
+    vals = ["172.20.3.4", "172.32.0.1", "9.9.9.9", "2620:fe::9", "fe90::2", "fd12::1", "::ffff:192.168.0.9", "::ffff:9.9.9.9",
+            "100.100.1.1", "198.18.5.5", "230.1.1.1", "2001:db8:7::1", "host.example."]
+    assert _one(spark, U.private_address, vals) == [True, False, False, False, True, True, True, False, True, True, True, True, True]
 
 
 def test_post_urls(spark):
-    vals = ["https://x.com/user/status/123456", "https://twitter.com/user/status/123456",
-            "https://example.com/user/status/123456"]
+    vals = ["https://x.com/gardener/status/77", "https://www.twitter.com/gardener/article/78?s=1", "https://g.example/gardener/status/79"]
     assert _one(spark, U.is_post_url, vals) == [True, True, False]
-
-
-def test_post_ref(spark):
-    df = spark.createDataFrame([("https://x.com/example/status/123",), ("https://x.com/i/status/5",)], "v string")
+    df = spark.createDataFrame([("https://x.com/gardener/status/77",), ("https://x.com/I/status/78",)], "v string")
     rows = df.select(U.post_ref(F.col("v")).alias("r")).collect()
-    assert (rows[0].r.id, rows[0].r.username) == ("123", "example")
-    assert rows[1].r.id is None and rows[1].r.error.startswith("Use the post URL")
+    assert (rows[0].r.id, rows[0].r.username) == ("77", "gardener") and rows[1].r.id is None
 
 
 def test_cache_keys_stable_and_distinct(spark):
-    keys = _one(spark, U.cache_key, ["https://example.com/one", "https://example.com/one", "https://example.com/two"])
-    assert keys[0] == keys[1] != keys[2]
-    assert keys[0].startswith("results/v2/") and keys[0].endswith(".json")
+    keys = _one(spark, U.cache_key, ["https://g.example/1", "https://g.example/1", "https://g.example/2"])
+    assert keys[0] == keys[1] != keys[2] and keys[0].startswith("results/v2/") and keys[0].endswith(".json")
 
 
 def test_wiki_titles(spark):
-    vals = ["https://en.wikipedia.org/wiki/Markdown", "https://en.wikipedia.org/wiki/Rust_(programming_language)",
-            "https://en.wikipedia.org/wiki/Special:Random", "https://example.com/wiki/Markdown"]
-    assert _one(spark, U.wiki_title, vals) == ["Markdown", "Rust_(programming_language)", None, None]
+    vals = ["https://de.wikipedia.org/wiki/Humus", "https://en.wikipedia.org/wiki/Loam_%28soil%29", "https://en.wikipedia.org/wiki/Talk:Loam",
+            "https://g.example/wiki/Loam", "https://en.wikipedia.org/wiki/%zz"]
+    assert _one(spark, U.wiki_title, vals) == ["Humus", "Loam_(soil)", None, None, None]
 
 
-def test_dot_segments_and_default_ports(spark):
-    vals = ["http://a.org:80/x/./y/../z", "https://a.org/a/b/..", "HTTP://A.ORG"]
-    assert _one(spark, U.canonical_url, vals) == ["http://a.org/x/z", "https://a.org/a/", "http://a.org/"]
+def test_resolved_locations(spark):
+    df = spark.createDataFrame([(x,) for x in ("../up", "./a/../b?x#y", "//cdn.example/p/../q", "https://o.example/s/./t", "?n=2", "",
+                                               "mailto:a@b.example", "/r/..")], "loc string")
+    got = [r[0] for r in df.select(U.resolve_location(F.lit("https://g.example:8080/d/e/f?o=1"), F.col("loc"))).collect()]
+    assert got == ["https://g.example:8080/d/up", "https://g.example:8080/d/e/b?x#y", "https://cdn.example/q", "https://o.example/s/t",
+                   "https://g.example:8080/d/e/f?n=2", "https://g.example:8080/d/e/f?o=1", "mailto:a@b.example", "https://g.example:8080/"]
 
 
 def test_normalize_is_idempotent_and_keys_follow(spark):
-    vals = ["  https://EXAMPLE.com:443/a b?x=\"1\"#f ", "http://Example.org", "https://x.com/u/status/1"]
+    vals = ["  https://G.EXAMPLE:443/ü b?x=\"1\"#f ", "http://G.example", "https://x.com/u/status/1"]
     df = spark.createDataFrame([(v,) for v in vals], "raw_url string")
-    once = admit(df).select("canonical_url", "cache_key")
-    twice = admit(once.withColumnRenamed("canonical_url", "raw_url").drop("cache_key"))
-    a = sorted(tuple(r) for r in once.collect())
-    b = sorted(tuple(r) for r in twice.select("canonical_url", "cache_key").collect())
-    assert a == b
+    once = A.admit(df).select("canonical_url", "cache_key")
+    twice = A.admit(once.withColumnRenamed("canonical_url", "raw_url").drop("cache_key"))
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.select("canonical_url", "cache_key").collect()))
 
 
 def test_scanner_paths(spark):
-    vals = ["/.env", "/.env.local", "/.git/config", "/WP-login.php", "/index.PHP", "/ngsw.json", "/api/extract"]
-    assert _one(spark, U.is_scanner_path, vals) == [True, True, True, True, True, True, False]
+    vals = ["/.ENV", "/.env.prod", "/.hg/store", "/wp-admin", "/old/Shell.PHP", "/api/extract"]
+    assert _one(spark, U.is_scanner_path, vals) == [True, True, True, True, True, False]
+
+
+def test_submitted_url_of_malformed_requests(spark):
+    rows = [("GET", "https://s/api?url=%zz%20x", None, None), ("POST", "u", "application/json", '{"url": 5}'),
+            ("POST", "u", "application/json", '{"a": {"url": "n"}, "url": "https://g.example/"}'),
+            ("POST", "u", "application/json", '{"url": "x"} junk'), ("POST", "u", "application/json", ""),
+            ("POST", "u", "form", "a=1&url=a%2Bb+c"), ("PUT", "u", None, None)]
+    df = spark.createDataFrame(rows, "m string, u string, c string, b string")
+    got = [r[0] for r in df.select(A.request_url(F.col("m"), F.col("u"), F.col("c"), F.col("b"))).collect()]
+    assert got == ["%zz%20x", "", "https://g.example/", "", "", "a+b c", ""]
+
+
+def test_beacon_statuses(spark):
+    ok = '{"event":"%s","page":"%s"}' % (U.BROWSER_EVENTS[0], U.BROWSER_PAGES[0])
+    own = A.SITE_ORIGIN
+    rows = [("POST", own, None, 10, ok), ("POST", None, None, 10, ok), ("POST", own, "", 10, ok), ("POST", own, "cross-site", 10, ok),
+            ("POST", own, "same-origin", 10, ok + " junk"), ("POST", own, None, 200, ok), ("POST", own, None, 10, ok + " " * 128),
+            ("POST", own, None, 10, '{"event":1,"page":"home"}'), ("GET", own, None, 10, ok), ("POST", own, None, 10, "")]
+    df = spark.createDataFrame(rows, "method string, origin string, sec_fetch_site string, content_length long, body string")
+    assert [r.status for r in A.beacon_status(df).collect()] == [204, 404, 204, 404, 400, 413, 413, 400, 404, 400]
+
+
+def test_redirect_chains_keep_their_last_node(spark):
+    starts = spark.createDataFrame([(i,) for i in range(10)], "start long")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(9)], "src long, dst long")
+    got = {r.start: (r.final, r.hops, r.status) for r in A.resolve_redirects(starts, edges).collect()}
+    assert got[0] == (6, 6, "TOO_MANY") and got[4] == (9, 5, "OK") and got[9] == (9, 0, "OK")
