@@ -11,6 +11,11 @@ d + 1 runs, so up to 15 shingles runs of three count too, up to 5 runs of two.
 their union's sketch puts the similarity near the threshold or above, and are
 verified on the full sets (64-bit hashes).
 
+A list of many is not turned into pairs.  Its members are compared with its
+hub; pairs that the triangle inequality of the Jaccard distance cannot settle
+from there are compared in blocks of a hub's members inside the tasks, which
+return links only.
+
 Null, empty and blank texts have no set and are linked with nothing.  With
 fewer words than a shingle the whole sequence is the one shingle.  Rows that
 share a doc_id are one document node with a row each.  Other columns are
@@ -23,9 +28,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, query, staged
-from .graph import components, linked
+from .graph import components, hub_pairs
 
 SKETCH = 64
+BLOCK = 128                   # members of a hub that a task holds twice of
 BROADCAST_IDS = 500_000      # documents whose ids (8 bytes each) go to all tasks; beyond, a join
 RUN = 4
 SPACES = [0x20, *range(0x09, 0x0E)]
@@ -97,6 +103,72 @@ def _whole_sets(words_a_shingle: int):
     return run
 
 
+def _linked_pairs(sets, threshold: int):
+    """Which pairs of sets are similar, as a matrix: intersections are products of incidence columns, a stretch at a time."""
+    import numpy as np
+
+    size = np.array([len(x) for x in sets])
+    of = np.repeat(np.arange(len(sets)), size)
+    value, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column_of = np.cumsum(count > 1) - 1                     # only hashes that two sets have
+    shared = count[column] > 1
+    of, column = of[shared], column_of[column[shared]]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(column, kind="stable")
+    of, column = of[order], column[order]
+    for start in range(0, int(column_of[-1]) + 1 if len(column_of) else 0, 4096):
+        s = slice(*np.searchsorted(column, [start, start + 4096]))
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[of[s], column[s] - start] = 1
+        common += part @ part.T
+    union = size[:, None] + size[None, :] - common
+    return 100 * common.astype(np.float64) >= threshold * union
+
+
+def _block_links(threshold: int, reach: float):
+    """Rows (hub, lo, hi, own block, id, distance, set) sorted by block pair to the links between the two blocks."""
+
+    def links(rows):
+        import numpy as np
+
+        lo, hi = rows[0][1], rows[0][2]
+        d = np.array([np.inf if r[5] is None else r[5] for r in rows])
+        own = np.array([r[3] for r in rows])
+        ok = _linked_pairs([r[6] for r in rows], threshold)
+        ok &= ~((d <= reach)[:, None] & (d <= reach)[None, :])
+        if lo != hi:
+            ok &= own[:, None] != own[None, :]
+        a, b = np.nonzero(np.triu(ok, 1))
+        ids = np.array([r[4] for r in rows], np.int64)
+        return ids[a], ids[b]
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def told(groups):
+            u, v = (np.concatenate(x) for x in zip(*map(links, groups)))
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+        rows = []
+        for batch in batches:
+            plain = [batch.column(i).to_pylist() for i in range(6)]
+            flat, cut = batch.column(6).flatten().to_numpy(), batch.column(6).offsets.to_numpy()
+            cut = cut - cut[0]
+            done = []
+            for i, row in enumerate(zip(*plain)):
+                if rows and rows[-1][:3] != row[:3]:
+                    done.append(rows)
+                    rows = []
+                rows.append((*row, flat[cut[i]:cut[i + 1]]))
+            if done:
+                yield told(done)
+        if rows:
+            yield told([rows])
+
+    return run
+
+
 def _unsigned(c):
     return F.transform(c, lambda x: x.bitwiseXOR(F.lit(-(2 ** 63))))
 
@@ -126,38 +198,48 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, words_a_shingle: int =
             .select("id", F.col("n_shingles").alias("size"),
                     F.explode(F.transform(at, lambda i: F.xxhash64(F.slice("sketch", i, F.col("run"))))).alias("list")))
 
+    lists = keys.groupBy("list").agg(F.count("*").alias("n")).where("n > 1")
+    star = hub_pairs(staged(keys.join(lists, "list"), "op3"), "op3")
+
+    # the sketches and full sets of the documents that share a list, read once
+    ids = staged(star.select("id").unionByName(star.select(F.col("hub").alias("id"))).distinct(), "op3")
+    wanted = ids.withColumnRenamed("id", "doc_id")
+    wanted = F.broadcast(wanted) if ids.count() <= BROADCAST_IDS else wanted
+    sets = staged(docs.join(wanted, "doc_id", "left_semi")
+                  .mapInArrow(_whole_sets(words_a_shingle), "id long, set array<long>"), "op3")
+
     # far: similarity at twice the linking distance; six standard deviations of the estimate below it is surely farther
     far = 2 * threshold / 100 - 1
     margin = 6 * (far * (1 - far) / k) ** 0.5
-
-    def prepare(ids: DataFrame):
-        """The sketches and full sets of the documents that share a list, read once."""
-        ids = staged(ids, "op3")
-        wanted = ids.withColumnRenamed("id", "doc_id")
-        wanted = F.broadcast(wanted) if ids.count() <= BROADCAST_IDS else wanted
-        sets = staged(docs.join(wanted, "doc_id", "left_semi")
-                      .mapInArrow(_whole_sets(words_a_shingle), "id long, set array<long>"), "op3")
-        return verifier(reps.select("id", "n_shingles", "sketch"), sets)
-
-    def verifier(sketches: DataFrame, sets: DataFrame):
-        def verify(pairs: DataFrame) -> DataFrame:
-            sa = sketches.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("ska"))
-            sb = sketches.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("skb"))
-            union = F.slice(F.array_sort(_unsigned(F.array_union("ska", "skb"))), 1, k)
-            shared = F.size(F.array_intersect(F.array_intersect(_unsigned("ska"), _unsigned("skb")), union))
-            estimate = shared / F.least(F.size(F.array_union("ska", "skb")), F.lit(k))
-            close = (F.least("na", "nb") >= far * F.greatest("na", "nb")) & (estimate >= far - margin)
-            told = staged(pairs.join(sa, "a").join(sb, "b").select("a", "b", close.alias("close")), "op3")
-            common = F.size(F.array_intersect("sa", "sb"))
-            exact = (told.where("close").join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
-                     .join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-                     .select("a", "b", (1 - common / (F.size("sa") + F.size("sb") - common)).alias("distance")))
-            return exact.unionByName(told.where("not close").select("a", "b", F.lit(None).cast("double").alias("distance")))
-
-        return verify
-
-    # a distance that rounding leaves just over the limit is still within it
-    links = linked(keys, prepare, 1 - threshold / 100 + 1e-9, "op3")
+    sa = reps.select(F.col("id").alias("hub"), F.col("n_shingles").alias("na"), F.col("sketch").alias("ska"))
+    sb = reps.select("id", F.col("n_shingles").alias("nb"), F.col("sketch").alias("skb"))
+    union = F.slice(F.array_sort(_unsigned(F.array_union("ska", "skb"))), 1, k)
+    shared = F.size(F.array_intersect(F.array_intersect(_unsigned("ska"), _unsigned("skb")), union))
+    estimate = shared / F.least(F.size(F.array_union("ska", "skb")), F.lit(k))
+    close = (F.least("na", "nb") >= far * F.greatest("na", "nb")) & (estimate >= far - margin)
+    told = staged(star.select("hub", "id").distinct().join(sa, "hub").join(sb, "id").select("hub", "id", close.alias("close")), "op3")
+    common = F.size(F.array_intersect("sa", "sb"))
+    # rounding may leave a distance just over the limit
+    reach = 1 - threshold / 100 + 1e-9
+    near = (told.where("close").join(sets.select(F.col("id").alias("hub"), F.col("set").alias("sa")), "hub")
+            .join(sets.withColumnRenamed("set", "sb"), "id")
+            .select("hub", "id", (1 - common / (F.size("sa") + F.size("sb") - common)).alias("distance")))
+    judged = near.unionByName(told.where("not close").select("hub", "id", F.lit(None).cast("double").alias("distance")))
+    judged = staged(judged.withColumn("link", F.coalesce(F.col("distance") <= reach, F.lit(False))), "op3")
+
+    # members of a hub that may be linked with each other: neither both linked with it, nor one linked and one far
+    middle = F.col("distance").between(reach, 2 * reach)
+    hubs = (judged.groupBy("hub").agg(F.count_if(~F.col("link")).alias("apart"), F.count_if(middle).alias("middle"),
+                                      F.count("*").alias("n"))
+            .where("apart > 1 or middle > 0")
+            .withColumn("blocks", F.ceil(F.when(F.col("middle") > 0, F.col("n")).otherwise(F.col("apart")) / BLOCK).cast("int")))
+    blocks = (judged.join(hubs, "hub").where(~F.col("link") | (F.col("middle") > 0))
+              .withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+              .select("hub", "id", "distance", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")))
+    within = (blocks.join(sets, "id").repartition("hub", "lo", "hi").sortWithinPartitions("hub", "lo", "hi", "id")
+              .select("hub", "lo", "hi", "own", "id", "distance", "set").mapInArrow(_block_links(threshold, reach), "u long, v long"))
+    links = judged.where("link").select(F.col("hub").alias("u"), F.col("id").alias("v")).unionByName(staged(within, "op3"))
     found = components(links)
     by_class = classes.drop("n").join(found.withColumnRenamed("id", "rep"), "rep", "left").select(
         *same, F.coalesce("component", "rep").alias("component"))
