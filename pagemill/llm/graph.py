@@ -46,6 +46,19 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .unionByName(now.select("v").distinct().select(F.col("v").alias("id"), F.col("v").alias("component"))))
 
 
+def hub_pairs(rows: DataFrame, name: str) -> DataFrame:
+    """(list, id, size, hub) of each member of ``rows`` (list, id, size, n) but the hubs.
+
+    A list's hub is the member whose lists are the largest: of a group of near
+    copies that is the text they come from.  ``n`` is the list's length.
+    """
+    # an id is in as many lists as its sketch has runs
+    rows = rows.withColumn("weight", F.sum("n").over(Window.partitionBy("id"))).select("list", "id", "size", "weight")
+    hubs = rows.groupBy("list").agg(F.max(F.struct("weight", (-F.col("id")).alias("m"))).alias("top"))
+    hubs = hubs.select("list", (-F.col("top.m")).alias("hub"))
+    return staged(rows.join(hubs, "list").where("id <> hub").select("list", "id", "size", "hub"), name)
+
+
 def linked(members: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], reach: float, name: str,
            max_rounds: int = 4, pairs_a_row: int = 64) -> DataFrame:
     """Links (u, v) that connect all ids which are similar and share a list.
@@ -57,8 +70,7 @@ def linked(members: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFram
     ``reach``.
 
     Not all pairs of a list are compared.  Each list's members are compared
-    with its hub, the member whose lists are the largest: of a group of near
-    copies that is the text they come from.  The distance is a metric, so two
+    with its hub (``hub_pairs``).  The distance is a metric, so two
     members are not similar if their distances from the hub differ by more
     than ``reach``: members near the hub but not linked to it are compared with
     those linked members that this leaves.  Members that are not linked form
@@ -87,11 +99,7 @@ def linked(members: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFram
             fit = (F.col("a") < F.col("b")) & (F.least("sa", "sb") >= (1 - reach) * F.greatest("sa", "sb"))
             links(left.join(right, (left["list"] == right["list"]) & fit).select("a", "b").distinct())
             break
-        # an id is in as many lists as its sketch has runs
-        rows = rows.withColumn("weight", F.sum("n").over(Window.partitionBy("id"))).select("list", "id", "size", "weight")
-        hubs = rows.groupBy("list").agg(F.max(F.struct("weight", (-F.col("id")).alias("m"))).alias("top"))
-        hubs = hubs.select("list", (-F.col("top.m")).alias("hub"))
-        star = staged(rows.join(hubs, "list").where("id <> hub").select("list", "id", "size", "hub"), name)
+        star = hub_pairs(rows, name)
         judged = verify(star.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
         judged = staged(judged.select(F.col("a").alias("hub"), F.col("b").alias("id"), "distance"), name)
         link = judged.where(F.col("distance") <= reach)

@@ -134,5 +134,6 @@ def test_bit_table_marks_all_hashes(spark):
 
 
 def test_no_members_no_links(copies):
-    links = graph.linked(copies.select(F.lit(1).alias("list"), F.col("doc_id").alias("id")).limit(0), lambda p: p, "none")
+    nothing = copies.select(F.lit(1).alias("list"), F.col("doc_id").alias("id"), F.lit(1).alias("size")).limit(0)
+    links = graph.linked(nothing, lambda ids: None, 0.1, "none")
     assert links.collect() == []
