@@ -310,7 +310,7 @@ def clean_markdown(raw: Column) -> Column:
     def line(x):
         level = F.length(F.regexp_extract(x, f"^({QUOTE}*)", 1))
         text = F.regexp_replace(F.regexp_replace(x, f"^{QUOTE}*[ \\t]+|^{QUOTE}+", ""), r"[ \t]+$", "")
-        return F.struct(level.alias("level"), text.alias("text"))
+        return F.struct(level.alias("level"), F.regexp_replace(text, "[ \\t]{2,}", " ").alias("text"))
 
     lines = F.transform(F.split(raw, "\n"), line)
     # blank lines stay with the line after them
