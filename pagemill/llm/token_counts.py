@@ -25,6 +25,7 @@ from .common import documents, query, tokenizer_file
 FREQUENT = 32_768          # entries of the broadcast table, each of at most LONGEST bytes: under 4 MB
 LONGEST = 64
 SUMMARY = 65_536           # pre-tokens that a task's summary keeps
+PENDING = 500_000          # pre-tokens counted before they are added to a task's summary
 CACHE = 400_000            # pre-tokens that a worker's cache keeps before it starts anew
 FAN_IN = 32                # summaries merged at once
 BATCH_CHARS = 2_000_000
@@ -100,15 +101,14 @@ def _summarise(batches):
 
     from pyspark import TaskContext
 
-    split, total, pending, chars = _splitter(), _Summary(), Counter(), 0
+    split, total, pending = _splitter(), _Summary(), Counter()
     for batch in batches:
         for text in batch.column(0).to_pylist():
             if text:
                 pending.update(split(text))
-                chars += len(text)
-                if chars > BATCH_CHARS:
+                if len(pending) > PENDING:
                     total.add((t, n) for t, n in pending.items() if len(t) <= LONGEST)
-                    pending, chars = Counter(), 0
+                    pending = Counter()
     total.add((t, n) for t, n in pending.items() if len(t) <= LONGEST)
     if total:
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.packed()])],
@@ -144,7 +144,9 @@ def frequent_pretokens(texts: DataFrame, column: str = "text") -> list[str]:
 def _lengths(tokens: list[str], path: str) -> list[int]:
     if not tokens:
         return []
-    return [len(e.ids) for e in _tokenizer(path).encode_batch(tokens, add_special_tokens=False)]
+    tok = _tokenizer(path)
+    encode = getattr(tok, "encode_batch_fast", tok.encode_batch)       # without offsets, where the library has it
+    return [len(e) for e in encode(tokens, add_special_tokens=False)]
 
 
 def _packed_table(tokens: list[str], path: str):
