@@ -73,6 +73,36 @@ def test_deduped_documents_keep_first_lines(spark):
     assert got == {1: (rows[0][1], "x"), 2: (prose(22, 12), "y"), 4: ("", "e"), 5: (None, "n"), 6: (" \n ", "b")}
 
 
+def _dense_set(line):
+    line = line.strip(" ").lower()
+    return frozenset(line[i:i + 5] for i in range(len(line) - 4)) or frozenset([line])
+
+
+def test_lines_with_one_edit_are_linked(spark, monkeypatch, edge_docs, no_docs):
+    """One changed or added character, in short, long and unspaced lines, against the plain version on dense shingles."""
+    rng, rows = random.Random(9), []
+    for i in range(60):
+        line = prose(500 + i, 6 + i % 20)
+        if i % 4 == 3:
+            line = "".join(rng.choice("東京都大阪府北海道沖縄県山川田中村森林") for _ in range(60 + i))
+        at = rng.randrange(len(line))
+        rows.append((i, line))
+        rows.append((1000 + i, line[:at] + "\u00d8" + line[at + i % 2:]))
+    rows += [(3000, "Copyright 2023 Example Publishers and their partners in many other places of the world."),
+             (3001, "Copyright 2024 Example Publishers and their partners in many other places of the world.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(brute, "line_sets", _dense_set)
+    got = {(r.doc_id, r.line_no): (r.rep_doc_id, r.rep_line_no) for r in line_dedup.line_components(df, dense=True).collect()}
+    assert got == brute.line_components(rows)
+    assert got[3001, 0] == (3000, 0)
+    assert sum(got[1000 + i, 0] == (i, 0) for i in range(60)) >= 55
+    got = {(r.doc_id, r.line_no): (r.rep_doc_id, r.rep_line_no) for r in line_dedup.line_components(edge_docs, dense=True).collect()}
+    assert got == brute.line_components(_rows(edge_docs))
+    assert line_dedup.line_components(no_docs, dense=True).collect() == []
+    plan = line_dedup.line_components(edge_docs, dense=True)._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
 def test_line_dedup_has_no_python(edge_docs):
     plan = line_dedup.line_components(edge_docs)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
