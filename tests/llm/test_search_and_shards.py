@@ -85,6 +85,22 @@ def test_a_group_of_a_third_is_kept_whole(spark):
     assert all(len(s) == 1 for s in where.values())
 
 
+def test_a_group_of_a_third_of_the_bytes_is_cut(spark):
+    texts = [(i, f"text {i} " * 20) for i in range(2000)] + [(5000 + i, "the same text " * 15) for i in range(1000)]
+    texts += [(7000 + i, "a second text " * 15) for i in range(300)] + [(None, None)] * 3
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(7)
+    assert 0.25 < sum(len(t or "") + 1 for _, t in texts if t == texts[2000][1]) / sum(len(t or "") + 1 for _, t in texts) < 0.4
+    where = _check_shards(sharding.shard(df).collect(), texts, 0.03)
+    small = {(len(t) + 1, zlib.crc32(t.encode())) for i, t in texts[:2000]}
+    assert all(len(s) == 1 for k, s in where.items() if k in small)
+
+
+def test_one_documents_rows_stay_together(spark):
+    texts = [(i, f"text {i} " * 20) for i in range(200)] + [(5000, "the same text " * 15)] * 100
+    where = _check_shards(sharding.shard(spark.createDataFrame(texts, "doc_id long, text string")).collect(), texts, 6)
+    assert all(len(s) == 1 for s in where.values())
+
+
 def test_shards_of_edge_rows(edge_docs, no_docs):
     rows = sharding.shard(edge_docs).collect()
     _check_shards(rows, [(r.doc_id, r.text) for r in edge_docs.collect()], 16)
