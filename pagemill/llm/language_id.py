@@ -1,6 +1,7 @@
 """Operator 7: language identification by a linear-chain conditional random field.
 
-Words are labelled with languages.  A word's features are its character
+Words are labelled with languages; a run of over LONGEST characters without
+white space counts as several words, in training and prediction.  A word's features are its character
 n-grams of 1 to 4 characters with word-boundary marks (those that hold a mark
 are its affixes) and the word itself (the lexicon); all are hashed into one
 weight table.  Transitions between neighbouring labels are learned with them.
@@ -32,7 +33,7 @@ CHUNK = 64                     # words of a chain that are stepped through side
 BATCH_CHARS = 1_500_000
 CACHE = 400_000                # word scores that a worker keeps before it starts anew
 UNDETERMINED = "und"
-LONGEST = 40                   # characters of the words that training windows take
+LONGEST = 40                   # characters of a word; a longer run, as in scripts without spaces, is cut into words
 
 _STATE: dict = {}
 
@@ -71,6 +72,14 @@ def features(words: list[str]):
     return index[order], np.searchsorted(of[order], np.arange(len(words)))
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a text, for training and prediction: runs without white space, cut after each LONGEST characters."""
+    words = text.split()
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    return [w[i:i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
+
+
 def _slot(h):
     import numpy as np
 
@@ -229,7 +238,7 @@ def _windows(n: int):
         for batch in batches:
             lang, words = [], []
             for label, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                own = [w for w in text.split() if len(w) <= LONGEST]
+                own = words_of(text)
                 at = zlib.crc32(text.encode()) % max(1, len(own) - n + 1)
                 if own:
                     lang.append(label)
@@ -275,7 +284,7 @@ def _predict(model):
         def predicted(texts):
             lang, score = [UNDETERMINED] * len(texts), [0.0] * len(texts)
             which = [i for i, t in enumerate(texts) if t and labels and letter(t)]
-            split = [texts[i].split() for i in which]
+            split = [words_of(texts[i]) for i in which]
             if not which:
                 return lang, score
             at = _STATE["at"]

@@ -125,6 +125,19 @@ def test_held_out_accuracy(sample_docs):
     assert found.where("score < 0 or score > 1 or score is null").count() == 0
 
 
+def test_languages_without_spaces_are_learned(spark):
+    rng = random.Random(4)
+    letters = {"zh": "的一是不了人我在有他这为之大来以个中上们", "th": "กขคงจฉชซญดตถทนบปผพฟม"}
+    rows = [(i, "".join(rng.choice(letters[x]) for _ in range(rng.randrange(50, 400))), x) for i in range(120) for x in [("zh", "th")[i % 2]]]
+    rows += [(1000 + i, prose(700 + i, 40), "en") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.learn(df)
+    assert model[0] == ["en", "th", "zh"]
+    found = language_id.identify(df, model).where(language_id.held_out(F.col("doc_id"))).collect()
+    assert {r.lang for r in found} == {"en", "th", "zh"} and all(r.lang == r.lang_pred and r.score > 0.5 for r in found)
+    assert language_id.words_of("ab " + "c" * 81) == ["ab", "c" * 40, "c" * 40, "c"]
+
+
 def test_code_switched_words_are_labelled(sample_docs):
     rows = sample_docs.where("lang in ('en', 'de')").collect()
     labels, weights, trans = language_id.learn(sample_docs)
