@@ -137,6 +137,31 @@ def test_repeated_strings_near_the_limit(spark):
     assert _removed(df) == brute.removed(rows)
 
 
+def test_no_task_sorts_all_contexts_of_a_hot_anchor(copies, monkeypatch):
+    real = suffix_dedup._cover
+
+    def cover(span):
+        inner = real(span)
+
+        def run(batches):
+            from collections import Counter
+            seen = Counter()
+
+            def counted():
+                for batch in batches:
+                    seen.update(batch.column("anchor").to_pylist())
+                    assert max(seen.values(), default=0) <= 5
+                    yield batch
+
+            yield from inner(counted())
+
+        return run
+
+    monkeypatch.setattr(suffix_dedup, "_cover", cover)
+    monkeypatch.setattr(suffix_dedup, "HOT_CLASSES", 5, raising=False)
+    assert _removed(copies) == brute.removed(_rows(copies))
+
+
 def test_merged_transforms_are_the_sorted_suffixes():
     rng = random.Random(6)
     segments = ["".join(rng.choice("ab") for _ in range(rng.randrange(1, 60))).encode() for _ in range(40)]
