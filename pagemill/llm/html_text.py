@@ -5,12 +5,15 @@ adverts, forms, comments and hidden parts, as tags, roles and class names tell
 them; of pages with an article (else a main part) only that is taken.  Then
 the token streams of a host's pages are concatenated and their suffixes sorted
 (to the depth of the shortest substring asked for).  Substrings that start on
-many distinct pages are boilerplate: outside an article the tokens they cover
-go and the unique runs stay; inside an article only blocks go that are covered
-as a whole on half of the pages, since articles quote and are copied.
+many distinct pages are boilerplate: outside an article the tokens go that are
+covered by substrings on MIN_PAGES pages, and the unique runs stay; inside an
+article only blocks go that are covered as a whole by substrings on half of the
+host's pages (MIN_PAGES at least), since articles quote and are copied.
 
-A host's pages are dealt over as many groups as its size asks for; a group is
-a sample of the host's pages, so what most of them share is seen in each.
+A host's pages are dealt over as many groups as its size asks for, and each
+group has a suffix array of its own.  Of hosts with several groups the groups'
+counts of distinct pages are summed by host and substring (64-bit hash), so
+the rule and the result are those of one array over the whole host.
 
 Null, empty and text-less pages have the empty text.  Pages without a host are
 handled like one host.  Repeated rows are pages of their own but count as one
@@ -22,14 +25,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import query
+from .common import query, staged
 from pagemill.sources.tables import read_pages
 
 GROUP_PAGES = 400
 BROADCAST_HOSTS = 100_000     # hosts with more than one group that are sent to all tasks; beyond, a join
 DEPTH = 8                     # tokens of the shortest substring looked for; a power of two
 MIN_PAGES = 3
-OUTSIDE_SHARE, INSIDE_SHARE = 0.2, 0.5
+INSIDE_SHARE = 0.5            # of the host's pages
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -183,9 +186,9 @@ def _read(batches):
             blocks.append(b)
             inside.append(i)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(x) for x in ("page_id", "url", "host", "part")]
+            [batch.column(x) for x in ("page_id", "url", "host", "part", "n_pages")]
             + [pa.array(blocks, pa.list_(pa.string())), pa.array(inside, pa.bool_())],
-            names=["page_id", "url", "host", "part", "blocks", "inside"])
+            names=["page_id", "url", "host", "part", "n_pages", "blocks", "inside"])
 
 
 def suffix_ranks(tokens, depth: int):
@@ -201,23 +204,36 @@ def suffix_ranks(tokens, depth: int):
     return rank
 
 
-def repeated_cover(rank, page, depth: int, at_least: int):
-    """Which tokens lie in a substring of ``depth`` tokens that starts on ``at_least`` distinct pages."""
+def pages_with(rank, page):
+    """Number of distinct pages on which the suffixes of each rank start."""
     import numpy as np
 
     order = np.lexsort((page, rank))                      # the suffix array, pages in order within equal prefixes
     r, p = rank[order], page[order]
     new = np.ones(len(r), bool)
     new[1:] = (r[1:] != r[:-1]) | (p[1:] != p[:-1])
-    pages = np.bincount(r, weights=new)
-    starts = np.flatnonzero(pages[rank] >= at_least)
-    change = np.zeros(len(rank) + depth + 1, np.int64)
+    return np.bincount(r, weights=new).astype(np.int64)
+
+
+def covered(starts, n: int, depth: int):
+    """Which of n tokens lie in a substring of ``depth`` tokens that begins at one of ``starts``."""
+    import numpy as np
+
+    change = np.zeros(n + depth + 1, np.int64)
     change[starts] += 1
     change[starts + depth] -= 1
-    return np.cumsum(change)[:len(rank)] > 0
+    return np.cumsum(change)[:n] > 0
 
 
-def _host_text(pdf):
+def repeated_cover(rank, page, depth: int, at_least: int):
+    """Which tokens lie in a substring of ``depth`` tokens that starts on ``at_least`` distinct pages."""
+    import numpy as np
+
+    return covered(np.flatnonzero(pages_with(rank, page)[rank] >= at_least), len(rank), depth)
+
+
+def _group(pdf):
+    """Token stream of a group's pages: words, places of each page's blocks, page of each token, end of each token's page."""
     import numpy as np
     import pandas as pd
 
@@ -232,17 +248,61 @@ def _host_text(pdf):
         words.append(f"\n{i}")                            # ends a page, unique
         page_of.append(len(words))
         block_at.append(places)
-    ids = pdf["page_id"].to_numpy()
-    distinct = pd.factorize(pd.Series(ids))[0]
-    page = np.repeat(distinct, np.diff([0, *page_of]))
-    n_pages = distinct.max() + 1
+    size = np.diff([0, *page_of])
+    distinct = pd.factorize(pdf["page_id"])[0]            # a page without an id is -1
+    return words, block_at, np.repeat(distinct, size), np.repeat(np.array(page_of) - 1, size)
+
+
+def _ranks(words, end):
+    """Rank of each suffix, a place of each rank, and the hash of its substring; 0 if that goes over a page's end."""
+    import numpy as np
+    import pandas as pd
+
+    tokens, names = pd.factorize(np.array(words, object))
+    rank = suffix_ranks(tokens.astype(np.int64), DEPTH)
+    at = np.unique(rank, return_index=True)[1]
+    of = np.append(pd.util.hash_array(names, categorize=False)[tokens], np.zeros(DEPTH, np.uint64))
+    h = np.zeros(len(at), np.uint64)
+    for j in range(DEPTH):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + of[at + j]
+    return rank, at, np.where(at + DEPTH <= end[at], h, 0).view(np.int64)
+
+
+def _counts(pdf):
+    """Distinct pages of each substring of a group, of a host with several."""
+    import pandas as pd
+
+    words, _, page, end = _group(pdf)
+    rank, _, h = _ranks(words, end)
+    pages = pages_with(rank, page)
+    return pd.DataFrame({"host": pdf["host"].iloc[0], "part": pdf["part"].iloc[0], "h": h[h != 0], "n": pages[h != 0]})
+
+
+def _least(inside: bool, n_pages: int) -> int:
+    """Pages of a host on which a substring is boilerplate."""
+    import math
+
+    return max(MIN_PAGES, math.ceil(INSIDE_SHARE * n_pages)) if inside else MIN_PAGES
+
+
+def _text(pdf, counts=None):
+    """Texts of a group; ``counts`` (h, n) has the host's repeated substrings if the host has several groups."""
+    import numpy as np
+    import pandas as pd
+
+    words, block_at, page, end = _group(pdf)
+    n_pages = page.max() + 1 if counts is None else int(pdf["n_pages"].iloc[0])
     covers = {}
     if n_pages >= MIN_PAGES:
-        tokens = pd.factorize(np.array(words, object))[0].astype(np.int64)
-        rank = suffix_ranks(tokens, DEPTH)
-        for inside, share in ((False, OUTSIDE_SHARE), (True, INSIDE_SHARE)):
+        rank, _, h = _ranks(words, end)
+        if counts is None:
+            pages = pages_with(rank, page)
+        else:
+            known = counts.drop_duplicates("h").set_index("h")["n"]
+            pages = known.reindex(h, fill_value=0).to_numpy()
+        for inside in (False, True):
             if (pdf["inside"] == inside).any():
-                covers[inside] = repeated_cover(rank, page, DEPTH, max(MIN_PAGES, int(np.ceil(share * n_pages))))
+                covers[inside] = covered(np.flatnonzero(pages[rank] >= _least(inside, n_pages)), len(rank), DEPTH)
     texts = []
     for blocks, places, inside in zip(pdf["blocks"], block_at, pdf["inside"]):
         cover = covers.get(inside)
@@ -257,22 +317,40 @@ def _host_text(pdf):
                 own = cover[s:e]
                 kept.append(b if not own.any() else " ".join(w for w, gone in zip(words[s:e], own) if not gone))
             texts.append(" ".join(x for x in kept if x))
-    return pd.DataFrame({"page_id": ids, "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+    return pd.DataFrame({"page_id": pdf["page_id"].to_numpy(), "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+
+
+def _host_text(pdf):
+    return _text(pdf)
+
+
+def _part_text(pdf, counts):
+    return _text(pdf, counts)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each row of ``pages`` (page_id, url, html)."""
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"))
-    large = (pages.groupBy("host").agg(F.ceil(F.count("*") / GROUP_PAGES).cast("int").alias("parts"))
-             .where("parts > 1"))
-    if large.count() <= BROADCAST_HOSTS:
+    large = (pages.groupBy("host").agg(F.ceil(F.count("*") / GROUP_PAGES).cast("int").alias("parts"),
+                                       F.count_distinct("page_id").alias("n_pages")).where("parts > 1"))
+    n_large = large.count()
+    if n_large <= BROADCAST_HOSTS:
         large = F.broadcast(large)
     part = F.pmod(F.xxhash64("page_id"), F.coalesce("parts", F.lit(1))).cast("int")
     dealt = pages.join(large, "host", "left").withColumn("part", part).drop("parts")
-    read = dealt.select("page_id", "url", "html", "host", "part").mapInArrow(
-        _read, "page_id long, url string, host string, part int, blocks array<string>, inside boolean")
-    return read.groupBy("host", "part").applyInPandas(_host_text, "page_id long, url string, text string, n_chars long")
+    columns = "page_id long, url string, host string, part int, n_pages long, blocks array<string>, inside boolean"
+    result = "page_id long, url string, text string, n_chars long"
+    read = dealt.select("page_id", "url", "html", "host", "part", "n_pages").mapInArrow(_read, columns)
+    if not n_large:
+        return read.groupBy("host", "part").applyInPandas(_host_text, result)
+    read = staged(read, "op5")
+    whole = read.where("n_pages is null").groupBy("host", "part").applyInPandas(_host_text, result)
+    read = read.where("n_pages is not null")
+    counts = staged(read.groupBy("host", "part").applyInPandas(_counts, "host string, part int, h long, n long"), "op5")
+    repeated = counts.groupBy("host", "h").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_PAGES)
+    marks = counts.drop("n").join(repeated, ["host", "h"])
+    return whole.unionByName(read.groupBy("host", "part").cogroup(marks.groupBy("host", "part")).applyInPandas(_part_text, result))
 
 
 @query("op5_html_text")

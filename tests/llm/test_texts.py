@@ -86,6 +86,21 @@ def test_host_boilerplate_goes_and_copies_stay(spark):
     assert html_text.main_text(pages.limit(0)).collect() == []
 
 
+def test_results_do_not_depend_on_the_groups(spark, monkeypatch):
+    """A notice on few of a host's pages goes from all of them; in an article what is on half of the pages goes."""
+    notice, line = prose(300, 12), prose(301, 14)
+    rows = [(i, f"http://big.example/{i}", _page(f"<div>{prose(1000 + i, 15)}</div>" + f"<div>{notice}</div>" * (i % 8 == 0))) for i in range(80)]
+    rows += [(500 + i, f"http://art.example/{i}", _page(
+        f"<article><p>{prose(2000 + i, 15)}</p>" + f"<p>{line}</p>" * (i % 20 < 11) + f"<p>{notice}</p>" * (i % 20 < 9) + "</article>"))
+             for i in range(80)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    want = {i: prose(1000 + i, 15) for i in range(80)}
+    want |= {500 + i: " ".join([prose(2000 + i, 15)] + [notice] * (i % 20 < 9)) for i in range(80)}
+    for group in (400, 10):
+        monkeypatch.setattr(html_text, "GROUP_PAGES", group)
+        assert {r.page_id: r.text for r in html_text.main_text(pages).collect()} == want
+
+
 def test_repeated_cover_against_all_substrings():
     rng = random.Random(8)
     tokens = np.array([rng.randrange(3) for _ in range(400)])
