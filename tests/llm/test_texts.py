@@ -228,6 +228,16 @@ def test_pipeline_against_plain_stages(spark, pipeline_rows):
     assert {r.doc_id: r.ids for r in kept} == {r.doc_id: library.encode_ordinary(r.text) for r in start}
 
 
+def test_line_stage_finds_one_changed_character(spark):
+    import corpus_pipeline
+
+    line = "Copyright %d Example Publishers and their partners in many other places of the world."
+    rows = [(1, line % 2023, "en", "s", 1), (2, line % 2024 + "\n" + prose(2, 30), "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, "")
+    assert {r.doc_id: r.text for r in got.collect()} == {1: line % 2023, 2: prose(2, 30)}
+
+
 def test_near_duplicate_stage_keeps_one_of_repeated_rows(spark):
     import corpus_pipeline
 
