@@ -32,6 +32,7 @@ MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 CACHE = 700_000            # units that a worker keeps before it starts anew
 CACHED_CHARS = 64          # longer units are not kept
+SHORT = 24                 # characters of a unit that is merged by looking at all its pairs
 
 _STATE: dict = {}
 
@@ -192,6 +193,24 @@ class Normaliser:
         return data.decode(), np.concatenate((source, [end]))
 
 
+class Pasted:
+    """Byte strings by number, to be strung together for a whole array of numbers."""
+
+    def __init__(self, strings: list[bytes]):
+        import numpy as np
+
+        self.data = np.frombuffer(b"".join(strings), np.uint8)
+        self.size = np.array([len(x) for x in strings], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+
+    def __call__(self, numbers) -> bytes:
+        import numpy as np
+
+        size = self.size[numbers]
+        end = np.cumsum(size)
+        return self.data[np.repeat(self.start[numbers] - end + size, size) + np.arange(end[-1] if len(end) else 0)].tobytes()
+
+
 class PieceModel:
     """Vocabulary, normaliser and merges of one model file."""
 
@@ -199,6 +218,8 @@ class PieceModel:
         import re
         import struct
 
+        import numpy as np
+
         self.pieces, kinds, scores, trainer, normalizer = [], [], [], {}, {}
         for number, value in _fields(data):
             if number == PIECES:
@@ -216,6 +237,7 @@ class PieceModel:
         self.normaliser = Normaliser(normalizer, suffix)
         self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, kinds)) if k == NORMAL}
         self.cost = {p: -scores[i] for p, i in self.ids.items()}
+        self.packed = {p: struct.pack("2i", i, len(p.encode())) for p, i in self.ids.items()}
         self.unknown = kinds.index(UNKNOWN)
         self.end = self.pieces.index("</s>")
         self.byte = [0] * 256
@@ -238,13 +260,15 @@ class PieceModel:
         some = "[" + re.escape(merging) + "]+" if merging else "(?!)"
         self.units = re.compile(f"(?:{some}|{SPACE})+|." if inner else f"{SPACE}*{some}|{SPACE}+|.", re.S).findall
         self.cache: dict = {}
+        self.texts, self.numbers = Pasted(self.raw), Pasted([b"%d " % i for i in range(len(self.raw))])
+        self.controls = np.isin(np.arange(len(self.raw)), list(self.control))
 
     def merged(self, unit: str) -> list[str]:
         """Pieces of a unit: of all neighbours that form a piece the best-scored, leftmost first, is joined."""
         import heapq
 
         cost, n = self.cost.get, len(unit)
-        if n <= 24:
+        if n <= SHORT:
             parts = list(unit)
             found = [cost(a + b, NEVER) for a, b in zip(parts, parts[1:])]
             while found and (best := min(found)) < NEVER:
@@ -274,26 +298,27 @@ class PieceModel:
                 heapq.heappush(heap, (s, before[i], to))
         return [unit[i:end[i]] for i in range(n) if end[i]]
 
+    def _piece(self, part: str) -> bytes:
+        """Pairs of id and length of one piece; the last byte piece covers a character outside the vocabulary."""
+        import struct
+
+        raw = part.encode()
+        if not self.fallback:
+            return struct.pack("2i", self.unknown, len(raw))
+        return struct.pack(f"{2 * len(raw)}i", *(x for i, b in enumerate(raw, 1) for x in (self.byte[b], i // len(raw) * len(raw))))
+
     def _unit(self, unit: str) -> bytes:
         """Pairs of id and length (in bytes of the normalised text) of a unit's pieces, as int32."""
-        from array import array
-
         known = self.cache.get(unit)
         if known is None:
-            pairs = array("i")
-            cuts = [0, *(i for i in range(1, len(unit)) if unit[i - 1:i + 1] not in self.pairs), len(unit)]
-            if len(cuts) > 2:                             # no piece holds these neighbours, so none reaches across
-                pairs.frombytes(b"".join([self._unit(unit[a:b]) for a, b in zip(cuts, cuts[1:])]))
-            for part in self.merged(unit) if len(cuts) == 2 else ():
-                raw = part.encode()
-                at = self.ids.get(part)
-                if at is None and self.fallback:
-                    for b in raw[:-1]:
-                        pairs.extend((self.byte[b], 0))
-                    pairs.extend((self.byte[raw[-1]], len(raw)))     # the last byte piece covers the character
-                else:
-                    pairs.extend((self.unknown if at is None else at, len(raw)))
-            known = pairs.tobytes()
+            # no piece holds neighbours that are cut here, so none reaches across
+            tried = range(1, len(unit)) if len(unit) > SHORT else (len(unit) - 1,) * (len(unit) > 1)
+            cuts = [i for i in tried if unit[i - 1:i + 1] not in self.pairs]
+            if cuts:
+                known = b"".join([self._unit(unit[a:b]) for a, b in zip([0, *cuts], [*cuts, len(unit)])])
+            else:
+                packed = self.packed.get
+                known = b"".join([packed(p) or self._piece(p) for p in self.merged(unit)])
             if len(unit) <= CACHED_CHARS:
                 if len(self.cache) >= CACHE:
                     self.cache.clear()
@@ -319,23 +344,30 @@ class PieceModel:
         """Text of a sequence of ids."""
         import codecs
 
-        ids = list(ids)
-        parts = [self.raw[i] for i in ids]
+        import numpy as np
+
+        ids = np.asarray(ids, np.int64)
+        control = self.controls[ids]
+        spare = 0                                        # spaces put before the text
         if self.normaliser.dummy or self.normaliser.spare:
-            for at, i in enumerate(ids):                 # the space put before the text
-                if i in self.control:
-                    continue
+            for i in ids[~control]:
                 if not self.pieces[i].startswith(SPACE):
                     break
-                parts[at] = parts[at][1:]
-                if not self.normaliser.spare or parts[at]:
+                spare += 1
+                if not self.normaliser.spare or len(self.pieces[i]) > 1:
                     break
-        cuts = [at for at, i in enumerate(ids[:-1]) if i in self.control]   # byte pieces do not meet across these
+        parts = [self.texts(ids)]
+        if control[:-1].any():                           # byte pieces do not meet across control pieces
+            parts = [self.texts(x) for x in np.split(ids, np.flatnonzero(control))]
         try:
-            return "".join(b"".join(parts[a:b]).decode() for a, b in zip([0, *cuts], [*cuts, len(ids)]))
+            return "".join([x.decode() for x in parts])[spare:]
         except UnicodeDecodeError:
             codecs.register_error("pagemill-bytes", lambda e: ("\ufffd" * (e.end - e.start), e.end))
-            return "".join(b"".join(parts[a:b]).decode("utf-8", "pagemill-bytes") for a, b in zip([0, *cuts], [*cuts, len(ids)]))
+            return "".join([x.decode("utf-8", "pagemill-bytes") for x in parts])[spare:]
+
+    def listed(self, ids) -> bytes:
+        """Decimal ids, joined by one space."""
+        return self.numbers(ids)[:-1]
 
 
 def _model(path: str) -> PieceModel:
@@ -368,10 +400,9 @@ def _encode(path: str, end: bool, told: tuple):
                 rows["begin"].append(begin.astype(np.int32))
                 rows["end"].append(stop.astype(np.int32))
                 if "ids_sha256" in told:
-                    listed = ids.tolist()
-                    rows["ids_sha256"].append(sha(" ".join(map(str, listed)).encode()))
+                    rows["ids_sha256"].append(sha(model.listed(ids)))
                     rows["spans_sha256"].append(sha(np.stack((rows["begin"][-1], rows["end"][-1]), axis=1).tobytes()))
-                    rows["decoded_sha256"].append(sha(model.decode(listed).encode()))
+                    rows["decoded_sha256"].append(sha(model.decode(ids).encode()))
             n = np.array([len(x) for x in rows["ids"]], np.int64)
             cuts = pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
             made = {"n_tokens": pa.array(n)}
