@@ -43,7 +43,12 @@ def line_sets(line):
     return frozenset(re.findall(r"(?s)(?=(.{1,16}))\S{1,8}\s*", line.strip(" ").lower(), re.A))
 
 
-def line_components(rows, threshold=80):
+def dense_line_sets(line):
+    line = line.strip(" ").lower()
+    return frozenset(line[i:i + 5] for i in range(len(line) - 4)) or frozenset([line])
+
+
+def line_components(rows, threshold=80, line_sets=line_sets):
     """(doc_id, text) rows to {(doc_id, line_no): first place of its component}."""
     places = defaultdict(list)
     for i, text in rows:

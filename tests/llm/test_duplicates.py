@@ -51,18 +51,23 @@ def test_near_duplicates_of_edge_rows(edge_docs, no_docs):
     assert near_dedup.near_duplicates(no_docs).collect() == []
 
 
-def _lines(df):
-    return {(r.doc_id, r.line_no): (r.rep_doc_id, r.rep_line_no) for r in line_dedup.line_components(df).collect()}
+def _lines(df, dense=False):
+    return {(r.doc_id, r.line_no): (r.rep_doc_id, r.rep_line_no) for r in line_dedup.line_components(df, dense=dense).collect()}
 
 
-def test_lines_of_sample_and_edge_rows(sample_docs, edge_docs, no_docs):
-    assert _lines(sample_docs) == brute.line_components(_rows(sample_docs))
-    assert _lines(edge_docs) == brute.line_components(_rows(edge_docs))
-    assert line_dedup.line_components(no_docs).collect() == []
+SETS = [(False, brute.line_sets), (True, brute.dense_line_sets)]
 
 
-def test_lines_of_many_near_copies(copies):
-    assert _lines(copies) == brute.line_components(_rows(copies))
+@pytest.mark.parametrize("dense, sets", SETS)
+def test_lines_of_sample_and_edge_rows(sample_docs, edge_docs, no_docs, dense, sets):
+    assert _lines(sample_docs, dense) == brute.line_components(_rows(sample_docs), line_sets=sets)
+    assert _lines(edge_docs, dense) == brute.line_components(_rows(edge_docs), line_sets=sets)
+    assert line_dedup.line_components(no_docs, dense=dense).collect() == []
+
+
+@pytest.mark.parametrize("dense, sets", SETS)
+def test_lines_of_many_near_copies(copies, dense, sets):
+    assert _lines(copies, dense) == brute.line_components(_rows(copies), line_sets=sets)
 
 
 def test_deduped_documents_keep_first_lines(spark):
@@ -73,12 +78,7 @@ def test_deduped_documents_keep_first_lines(spark):
     assert got == {1: (rows[0][1], "x"), 2: (prose(22, 12), "y"), 4: ("", "e"), 5: (None, "n"), 6: (" \n ", "b")}
 
 
-def _dense_set(line):
-    line = line.strip(" ").lower()
-    return frozenset(line[i:i + 5] for i in range(len(line) - 4)) or frozenset([line])
-
-
-def test_lines_with_one_edit_are_linked(spark, monkeypatch, edge_docs, no_docs):
+def test_lines_with_one_edit_are_linked(spark, edge_docs, no_docs):
     """One changed or added character, in short, long and unspaced lines, against the plain version on dense shingles."""
     rng, rows = random.Random(9), []
     for i in range(60):
@@ -91,13 +91,12 @@ def test_lines_with_one_edit_are_linked(spark, monkeypatch, edge_docs, no_docs):
     rows += [(3000, "Copyright 2023 Example Publishers and their partners in many other places of the world."),
              (3001, "Copyright 2024 Example Publishers and their partners in many other places of the world.")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    monkeypatch.setattr(brute, "line_sets", _dense_set)
     got = {(r.doc_id, r.line_no): (r.rep_doc_id, r.rep_line_no) for r in line_dedup.line_components(df, dense=True).collect()}
-    assert got == brute.line_components(rows)
+    assert got == brute.line_components(rows, line_sets=brute.dense_line_sets)
     assert got[3001, 0] == (3000, 0)
     assert sum(got[1000 + i, 0] == (i, 0) for i in range(60)) >= 55
     got = {(r.doc_id, r.line_no): (r.rep_doc_id, r.rep_line_no) for r in line_dedup.line_components(edge_docs, dense=True).collect()}
-    assert got == brute.line_components(_rows(edge_docs))
+    assert got == brute.line_components(_rows(edge_docs), line_sets=brute.dense_line_sets)
     assert line_dedup.line_components(no_docs, dense=True).collect() == []
     plan = line_dedup.line_components(edge_docs, dense=True)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))

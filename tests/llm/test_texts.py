@@ -202,7 +202,7 @@ def test_pipeline_against_plain_stages(spark, pipeline_rows):
     assert {r.doc_id for r in start} - {r.doc_id for r in kept} == {9002, 9003, 9005, None}
 
     start, kept, _ = seen["line_dedup"]
-    first = brute.line_components([(r.doc_id, r.text) for r in start])
+    first = brute.line_components([(r.doc_id, r.text) for r in start], line_sets=brute.dense_line_sets)
     want = {}
     for r in start:
         lines = [x for k, x in enumerate(r.text.split("\n")) if first.get((r.doc_id, k), (r.doc_id, k)) == (r.doc_id, k)]
