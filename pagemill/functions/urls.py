@@ -194,17 +194,26 @@ def _encode_set(c: Column, chars: dict[str, str]) -> Column:
     return c
 
 
-def _encode_non_ascii(c: Column) -> Column:
-    """Characters beyond ASCII as percent-encoded UTF-8."""
-    pieces = F.regexp_extract_all(c, F.lit(r"([\x00-\x7F]+|[^\x00-\x7F]+)"), F.lit(1))
-    encoded = F.transform(pieces, lambda p: F.when(p.rlike(r"^[^\x00-\x7F]"), F.url_encode(p)).otherwise(p))
-    return F.when(c.rlike(r"[^\x00-\x7F]"), F.array_join(encoded, "")).otherwise(c)
+def _encoded(raw: Column, chars: dict[str, str]) -> Column:
+    """``raw`` with the given characters and all beyond ASCII percent-encoded.
+
+    The conditions read ``raw`` itself, so that a part without such characters
+    is passed on and nothing is computed twice.
+    """
+    some = _encode_set(raw, chars)
+    pieces = F.regexp_extract_all(some, F.lit(r"([\x00-\x7F]+|[^\x00-\x7F]+)"), F.lit(1))
+    whole = F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(r"^[^\x00-\x7F]"), F.url_encode(p)).otherwise(p)), "")
+    return (F.when(raw.rlike(r"[^\x00-\x7F]"), whole)
+            .when(raw.rlike("[" + "".join(chars) + "]"), some).otherwise(raw))
 
 
 _PATH_ENC = {" ": "%20", '"': "%22", "<": "%3C", ">": "%3E", "`": "%60", "{": "%7B", "}": "%7D"}
 _QUERY_ENC = {" ": "%20", '"': "%22", "<": "%3C", ">": "%3E", "'": "%27"}
 
 
+_DOTS_RE = r"(^|/)(\.|%2[eE]){1,2}(/|$)"
+
+
 def _dot_segments(path: Column) -> Column:
     """Remove '.' and '..' path segments (as the WHATWG path parser does)."""
     parts = F.split(path, "/", -1)
@@ -225,18 +234,25 @@ def _dot_segments(path: Column) -> Column:
     idx = F.zip_with(segs, F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
                      lambda s, i: F.struct(s.alias("s"), i.alias("i")))
     out = F.aggregate(F.filter(idx, lambda e: e["s"].isNotNull()), F.array().cast("array<string>"), step)
-    return F.when(path.rlike(r"(^|/)(\.|%2[eE]){1,2}(/|$)"),
-                  F.concat(F.lit("/"), F.array_join(out, "/"))).otherwise(path)
+    return F.concat(F.lit("/"), F.array_join(out, "/"))
 
 
-def canonical_p(p: Column, reason: Column) -> Column:
-    """U01 on precomputed parts: NULL when ``reason`` is not NULL."""
+def canonical_bits(p: Column) -> dict[str, Column]:
+    """Port (with ``:``; empty if it is the default), path and query of the canonical form."""
     port_num = p["port"].try_cast("int")
     default = ((p["scheme"] == "http") & (port_num == 80)) | ((p["scheme"] == "https") & (port_num == 443))
-    port = F.when((p["port"] == "") | default, F.lit("")).otherwise(F.concat(F.lit(":"), port_num.cast("string")))
-    path = F.when(p["path"] == "", F.lit("/")).otherwise(_dot_segments(_encode_non_ascii(_encode_set(p["path"], _PATH_ENC))))
-    query = F.coalesce(_encode_non_ascii(_encode_set(p["query"], _QUERY_ENC)), F.lit(""))
-    url = F.concat(p["scheme"], F.lit("://"), p["host"], port, path, query)
+    path = _encoded(p["path"], _PATH_ENC)
+    return {
+        "port": F.when((p["port"] == "") | default, F.lit("")).otherwise(F.concat(F.lit(":"), port_num.cast("string"))),
+        "path": F.when(p["path"] == "", F.lit("/")).when(p["path"].rlike(_DOTS_RE), _dot_segments(path)).otherwise(path),
+        "query": F.coalesce(_encoded(p["query"], _QUERY_ENC), F.lit("")),
+    }
+
+
+def canonical_p(p: Column, reason: Column) -> Column:
+    """U01 on precomputed parts: NULL when ``reason`` is not NULL."""
+    bits = canonical_bits(p)
+    url = F.concat(p["scheme"], F.lit("://"), p["host"], bits["port"], bits["path"], bits["query"])
     return F.when(reason.isNull(), url)
 
 

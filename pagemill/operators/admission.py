@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions import urls as U
+from pagemill.operators.staging import stage
 from pagemill.sources.fixtures import SITE_HOST, SITE_ORIGIN
 
 MAX_REDIRECTS = 5          # fixed value: redirects followed per request
@@ -55,11 +56,19 @@ def admit(requests: DataFrame, raw_col: str = "raw_url") -> DataFrame:
     """
     cols = requests.columns
     df = U.with_url_parts(requests, raw_col, "_u")
-    df = df.withColumn("_reason", U.reason_p(F.col("_u"), F.col(raw_col)))
-    df = df.withColumn("canonical_url", U.canonical_p(F.col("_u"), F.col("_reason")))
-    df = U.with_url_parts(df, "canonical_url", "canon_parts")
+    u, bits = F.col("_u"), U.canonical_bits(F.col("_u"))
+    reason = U.reason_p(u, F.col(raw_col))
+    df = stage(df, _reason=reason, **{f"_{k}": F.when(reason.isNull(), c) for k, c in bits.items()})
+    ok = F.col("_reason").isNull()
+    url = F.concat(u["scheme"], F.lit("://"), u["host"], "_port", "_path", "_query")
+    df = stage(df, canonical_url=F.when(ok, url))
+    # the canonical form's parts are known: nothing is parsed again
+    canon = F.struct(
+        F.col("canonical_url").alias("input"), u["scheme"].alias("scheme"), F.lit("").alias("userinfo"), u["host"].alias("host"),
+        F.substring("_port", 2, 5).alias("port"), F.col("_path").alias("path"), F.nullif(F.col("_query"), F.lit("")).alias("query"),
+        ok.alias("valid"), u["blocked"].alias("blocked"))
+    df = df.withColumn("canon_parts", F.when(ok, canon))
     c = F.col("canon_parts")
-    ok = F.col("canonical_url").isNotNull()
     return df.select(
         *cols,
         F.coalesce(F.col("_reason"), F.lit("ok")).alias("verdict"),

@@ -304,16 +304,22 @@ def render(df: DataFrame, nodes_col: str = "nodes", base_col: str = "base_parts"
     return stage(df, _raw_md=raw, slim_bytes=(slim + frame).cast("bigint")).drop("_sub")
 
 
-def clean_markdown(raw: Column) -> Column:
-    """Lines of the raw rendering: blank runs to one blank line, quote marks
-    before every line of a quote, then the stand-ins to their characters."""
+def split_lines(raw: Column) -> Column:
+    """Lines of the raw rendering with their quote level, without spare spaces."""
     def line(x):
         level = F.length(F.regexp_extract(x, f"^({QUOTE}*)", 1))
         text = F.regexp_replace(F.regexp_replace(x, f"^{QUOTE}*[ \\t]+|^{QUOTE}+", ""), r"[ \t]+$", "")
         return F.struct(level.alias("level"), F.regexp_replace(text, "[ \\t]{2,}", " ").alias("text"))
 
-    lines = F.transform(F.split(raw, "\n"), line)
-    # blank lines stay with the line after them
+    return F.transform(F.split(raw, "\n"), line)
+
+
+def kept_lines(lines: Column) -> Column:
+    """Lines with text, marked if a blank line stands before them.
+
+    ``lines`` must be a staged column (:func:`split_lines`): it is read again
+    at every line.
+    """
     marked = F.transform(lines, lambda x, i: F.struct(
         x["level"].alias("level"), x["text"].alias("text"),
         F.coalesce((i > 0) & (_at(lines, F.greatest(i, F.lit(1)))["text"] == ""), F.lit(False)).alias("blank")))
@@ -339,7 +345,8 @@ def _joined(lines: Column) -> Column:
 def finish(df: DataFrame, host: Column) -> DataFrame:
     """Final Markdown, title, stats, and the
     service's refusal as a flag (``error``); nothing is withheld."""
-    df = stage(df, _lines=clean_markdown(F.col("_raw_md")))
+    df = stage(df, _split=split_lines(F.col("_raw_md")))
+    df = stage(df, _lines=kept_lines(F.col("_split")))
     df = stage(df, _md=_joined(F.col("_lines")))
     md = F.col("_md")
     error = (F.when(F.col("source_bytes") > MAX_SOURCE_BYTES, F.lit(ERROR_SOURCE_SIZE))
@@ -351,7 +358,7 @@ def finish(df: DataFrame, host: Column) -> DataFrame:
     markdown = F.concat(U.js_trim(X.ensure_heading(md, F.col("title"))), F.lit("\n"))
     df = stage(df, markdown=markdown)
     return df.select(
-        *[c for c in df.columns if c not in ("_raw_md", "_md", "_lines")],
+        *[c for c in df.columns if c not in ("_raw_md", "_md", "_split", "_lines")],
         X.word_count(F.col("markdown")).alias("words"),
         X.byte_length(F.col("markdown")).alias("markdown_bytes"),
     )

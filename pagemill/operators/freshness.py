@@ -53,12 +53,9 @@ def latest_per_key(rows: DataFrame, key: str = "cache_key", order: str = "fetche
     The winner is found on narrow columns (hash aggregates with map-side
     partials); the documents are only filtered by it.
     """
-    last = rows.groupBy(key).agg(F.max(order).alias(order))
-    if "page_id" not in rows.columns:
-        return rows.join(last, [key, order], "left_semi").select(rows.columns)
-    ties = rows.select(key, order, "page_id").join(last, [key, order])
-    winner = ties.groupBy(key, order).agg(F.max("page_id").alias("page_id"))
-    return rows.join(winner, [key, order, "page_id"], "left_semi").select(rows.columns)
+    tie = [c for c in ("page_id",) if c in rows.columns]
+    winner = rows.groupBy(key).agg(F.max(F.struct(order, *tie)).alias("_last")).select(key, "_last.*")
+    return rows.join(winner, [key, order, *tie], "left_semi").select(rows.columns)
 
 
 def read_store(store: DataFrame, as_of: Column) -> DataFrame:

@@ -22,7 +22,7 @@ select e.event_id, e.ts, e.user_id as actor, p.page_id,
     when 5 then concat('http://172.', cast(e.k % 40 as varchar), '.1.1/')
     when 6 then 'https://user:pw@example.com/'
     when 7 then concat('http://example.com:', cast(8000 + e.k % 3 as varchar), '/')
-    when 8 then 'file:///tmp/example'
+    when 8 then 'file:///srv/pages/index'
     when 9 then concat('https://x.com/user', cast(e.k % 50 as varchar), '/status/', cast(e.event_id as varchar))
     when 10 then 'https://en.wikipedia.org/wiki/Rust_(programming_language)'
     when 11 then 'https://en.wikipedia.org/wiki/Special:Random'

@@ -43,7 +43,7 @@ def url_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(m == 5, F.concat(F.lit("http://172."), s(k % 40), F.lit(".1.1/")))
         .when(m == 6, F.lit("https://user:pw@example.com/"))
         .when(m == 7, F.concat(F.lit("http://example.com:"), s(8000 + k % 3), F.lit("/")))
-        .when(m == 8, F.lit("file:///tmp/example"))
+        .when(m == 8, F.lit("file:///srv/pages/index"))
         .when(m == 9, F.concat(F.lit("https://x.com/user"), s(k % 50), F.lit("/status/"), s(F.col("event_id"))))
         .when(m == 10, F.lit("https://en.wikipedia.org/wiki/Rust_(programming_language)"))
         .when(m == 11, F.lit("https://en.wikipedia.org/wiki/Special:Random"))
@@ -184,11 +184,11 @@ def result_store(spark: SparkSession, sf_dir: str) -> DataFrame:
         (pid % 50).cast("bigint").alias("words"),
         F.when(pid % 25 == 0, F.lit(2)).otherwise(F.lit(1)).alias("version"),
     )
-    fresh = base.withColumn("fetched_at", F.timestamp_add("DAY", pid % 20, F.lit("2024-01-01 00:00:00").cast("timestamp")))
-    older = (base.where(pid % 9 == 0)
-             .withColumn("fetched_at", F.timestamp_add("DAY", pid % 20 - 3, F.lit("2024-01-01 00:00:00").cast("timestamp")))
-             .withColumn("title", F.concat(F.col("title"), F.lit(" (old)"))))
-    rows = fresh.unionByName(older)
+    version = lambda days, mark: F.struct(F.lit(days).alias("days"), F.lit(mark).alias("mark"))
+    rows = base.withColumn("_v", F.explode(F.when(pid % 9 == 0, F.array(version(0, ""), version(-3, " (old)")))
+                                           .otherwise(F.array(version(0, "")))))
+    rows = (rows.withColumn("fetched_at", F.timestamp_add("DAY", pid % 20 + F.col("_v.days"), F.lit("2024-01-01 00:00:00").cast("timestamp")))
+            .withColumn("title", F.concat("title", F.col("_v.mark"))))
     return rows.select(
         "page_id", "cache_key", "source_url", F.col("source_url").alias("final_url"), "title",
         F.concat(F.lit("# "), F.col("title"), F.lit("\n")).alias("markdown"), "provider", "words",

@@ -111,3 +111,25 @@ def test_safe_filename(spark):
     df = spark.createDataFrame([("Éclair — Crème & Søn?",), ("???",), ("long " * 60,)], "t string")
     names = [r[0] for r in df.select(X.safe_filename(F.col("t"))).collect()]
     assert names[:2] == ["Eclair-Creme-Sn", "document"] and len(names[2]) > 200
+
+
+def test_clean_up_is_linear_in_lines(spark):
+    """Lines are split once: the plan holds one split, and 4,000 lines take no longer than a few short texts."""
+    import time
+
+    from pagemill.operators.staging import stage
+
+    raw = spark.createDataFrame([("\n".join(["> a  b", "", "c" * 40] * 1400),)], "_raw_md string")
+    df = stage(raw, _split=Dm.split_lines(F.col("_raw_md")))
+    df = stage(df, _lines=Dm.kept_lines(F.col("_split")))
+    plan = df.select(F.size("_lines").alias("n"))
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    began = time.time()
+    assert plan.collect()[0].n == 2800
+    assert time.time() - began < 15
+
+
+def test_extraction_splits_the_markdown_once(spark):
+    pages = spark.createDataFrame([("https://a.example/", "<p>x</p>")], "final_url string, html string")
+    plan = Dm.extract_html(pages).select("markdown")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(_raw_md") == 1

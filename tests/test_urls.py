@@ -97,3 +97,15 @@ def test_redirect_chains_keep_their_last_node(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(9)], "src long, dst long")
     got = {r.start: (r.final, r.hops, r.status) for r in A.resolve_redirects(starts, edges).collect()}
     assert got[0] == (6, 6, "TOO_MANY") and got[4] == (9, 5, "OK") and got[9] == (9, 0, "OK")
+
+
+def test_admitted_parts_are_those_of_the_canonical_url(spark):
+    """The parts that admission hands on are what parsing its canonical URL gives."""
+    from pagemill.operators.admission import admit
+
+    raw = ["https://Example.com:443/a b/../é?q='x'#f", "http://example.com", "http://example.com:80/./x/%2e%2e/y", "https://example.com/a{b}?",
+           "http://[2606:4700::1111]/x", "https://x.com/u/status/12", "ftp://example.com/", "nope", "https://a.example/..", None]
+    rows = admit(spark.createDataFrame([(r,) for r in raw], "raw_url string"))
+    rows = U.with_url_parts(rows.select("canonical_url", "canon_parts"), "canonical_url", "again").where("canonical_url is not null")
+    got = rows.select("canon_parts", "again").collect()
+    assert len(got) == 7 and all(r.canon_parts == r.again for r in got)
