@@ -42,31 +42,43 @@ def number_lists(blocks: DataFrame, doc: str = "doc_id", pos: str = "pos") -> Da
     return b.withColumn("list_number", F.when(F.col("type") == ORDERED, n)).drop("_new_run", "_run")
 
 
-def block_line(type_: Column, text: Column, depth: Column, number: Column) -> Column:
-    """One block → its Markdown text (before right-trim)."""
+def block_line(type_: Column, text: Column, depth: Column, number: Column, code: Column | None = None,
+               atomic: Column | None = None) -> Column:
+    """One block → its Markdown text (before right-trim).
+
+    ``text`` is the text with inline marks, ``code`` (default: the same) that
+    without, and ``atomic`` the lines of an atomic block.
+    """
+    code = F.coalesce(text if code is None else code, F.lit(""))
     indent = F.repeat(F.lit("  "), F.greatest(F.coalesce(depth, F.lit(0)), F.lit(0)).cast("int"))
     t = F.coalesce(text, F.lit(""))
     heading = None
     for k, v in HEADING_PREFIX.items():
         heading = (F.when(type_ == k, F.concat(F.lit(v + " "), t)) if heading is None
                    else heading.when(type_ == k, F.concat(F.lit(v + " "), t)))
+    if atomic is not None:
+        lines = F.filter(F.transform(atomic, js_trim_end), lambda x: x != "")
+        heading = heading.when(type_ == ATOMIC, F.array_join(lines, "\n\n"))
     return (heading
             .when(type_ == UNORDERED, F.concat(indent, F.lit("- "), t))
             .when(type_ == ORDERED, F.concat(indent, number.cast("string"), F.lit(". "), t))
             .when(type_ == "blockquote", F.concat(F.lit("> "), F.replace(t, F.lit("\n"), F.lit("\n> "))))
-            .when(type_ == "code-block", F.concat(F.lit("```\n"), t, F.lit("\n```")))
+            .when(type_ == "code-block", F.concat(F.lit("```\n"), code, F.lit("\n```")))
             .otherwise(t))
 
 
 def render_blocks(blocks: DataFrame, doc: str = "doc_id", pos: str = "pos") -> DataFrame:
     """X16 + X18 + W02: per block its line and whether a blank line precedes it.
 
-    List items keep their line even when empty and are separated only from
+    Columns ``inline`` (text with inline marks) and ``atomic`` (lines of
+    atomic blocks) are used if they are there.  List items keep their line even when empty and are separated only from
     a different previous type; other blocks are right-trimmed and skipped
     when empty.
     """
     b = number_lists(blocks, doc, pos)
-    line = block_line(F.col("type"), F.col("text"), F.col("depth"), F.col("list_number"))
+    has = lambda c: F.col(c) if c in blocks.columns else None
+    line = block_line(F.col("type"), F.col("inline" if "inline" in blocks.columns else "text"), F.col("depth"), F.col("list_number"),
+                      F.col("text"), has("atomic"))
     is_list = F.col("type").isin(ORDERED, UNORDERED)
     b = b.withColumn("line", F.when(is_list, line).otherwise(js_trim_end(line)))
     b = b.withColumn("keep", is_list | (F.col("line") != ""))
