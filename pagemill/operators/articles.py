@@ -198,8 +198,11 @@ def resolved_entities(articles: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------- blocks
-def blocks_of(articles: DataFrame, *keep: str) -> DataFrame:
-    """One row a block: ``keep``, pos, type, text, depth, styles and ranges with their entities."""
+def blocks_of(articles: DataFrame, *keep: str, outer: bool = False) -> DataFrame:
+    """One row a block: ``keep``, pos, type, text, depth, styles and ranges with their entities.
+
+    ``outer``: a row (pos is null) also for a document without blocks.
+    """
     def styles(b):
         return F.transform(_list(b, "$.inlineStyleRanges"), lambda r: F.struct(
             _number(r, "$.offset").alias("offset"), _number(r, "$.length").alias("length"), _string(r, "$.style").alias("style")))
@@ -209,7 +212,8 @@ def blocks_of(articles: DataFrame, *keep: str) -> DataFrame:
             _number(r, "$.offset").alias("offset"), _number(r, "$.length").alias("length"),
             F.try_element_at(F.col("entities"), _number(r, "$.key")).alias("entity")))
 
-    df = articles.select(*keep, "entities", F.posexplode(_list(F.col("article"), "$.content.blocks")).alias("pos", "_b"))
+    blocks = _list(F.col("article"), "$.content.blocks")
+    df = articles.select(*keep, "entities", (F.posexplode_outer if outer else F.posexplode)(blocks).alias("pos", "_b"))
     b = F.col("_b")
     return stage(df, type=F.coalesce(_string(b, "$.type"), F.lit("unstyled")), text=F.coalesce(_string(b, "$.text"), F.lit("")),
                  depth=F.coalesce(_number(b, "$.data.depth"), F.lit(0.0)).cast("int"), styles=styles(b), ranges=ranges(b)).drop("_b", "entities")
@@ -289,9 +293,10 @@ def atomic_lines(text: Column, ranges: Column) -> Column:
             .when(own != "", F.array(own)).otherwise(F.array().cast("array<string>")))
 
 
-def rendered_blocks(articles: DataFrame, doc: str) -> DataFrame:
-    """X16 over payload blocks: each block's line, atomic blocks included."""
-    b = render_inline(blocks_of(articles, doc))
+def rendered_blocks(articles: DataFrame, doc: str, *keep: str) -> DataFrame:
+    """X16 over payload blocks: each block's line, atomic blocks included; a row also for a document without blocks."""
+    b = render_inline(blocks_of(articles, doc, *keep, outer=True))
+    b = stage(b, type=F.when(F.col("pos").isNotNull(), F.col("type")))
     b = stage(b, atomic=F.when(F.col("type") == P.ATOMIC, atomic_lines(F.col("text"), F.col("ranges"))))
     return P.render_blocks(b.drop("styles", "ranges"), doc, "pos")
 
@@ -299,31 +304,29 @@ def rendered_blocks(articles: DataFrame, doc: str) -> DataFrame:
 def convert_posts(posts: DataFrame, doc: str, payload: str = "payload") -> DataFrame:
     """``doc``, author, title, markdown, block_count, entity_count and error of each payload.
 
-    ``doc`` must tell the rows apart.
+    ``doc`` must tell the rows apart.  One pass: what a document is apart from
+    its blocks travels with them, and a document without blocks is one row.
     """
-    read = read_payloads(posts.select(doc, payload), payload).drop(payload)
-    plain = read.where(F.col("article").isNull() & F.col("error").isNull())
-    t = F.col("tweet")
+    df = read_payloads(posts.select(doc, payload), payload).drop(payload)
+    t, a = F.col("tweet"), F.col("article")
     media = F.transform(_list(t, "$.media"), lambda m: F.struct(_string(m, "$.type").alias("type"), _string(m, "$.url").alias("url"),
                                                                 _string(m, "$.altText").alias("alt")))
-    plain = P.render_post(plain.select(doc, "name", "screen_name", "error", _string(t, "$.text").alias("text"), media.alias("media")))
-    zero = F.lit(0).alias("n")
-    out = plain.select(doc, "author", "title", "markdown", zero.alias("block_count"), zero.alias("entity_count"), "error")
-
-    a = F.col("article")
-    head = resolved_entities(read.where(a.isNotNull()))
-    body = P.assemble(rendered_blocks(head, doc), doc, "pos").withColumnRenamed(doc, "_doc").withColumnRenamed("markdown", "body")
-    head = head.select(
-        doc, P.author_label(F.col("name"), F.col("screen_name")).alias("author"), "cover", "error",
-        F.coalesce(F.nullif(js_trim(_string(a, "$.title")), F.lit("")), F.lit(P.UNTITLED_ARTICLE)).alias("title"),
+    df = P.render_post(stage(df, text=_string(t, "$.text"), media=media)).withColumnRenamed("markdown", "_post")
+    df = resolved_entities(df.drop("text", "media"))
+    is_post, ok = a.isNull() & F.col("error").isNull(), F.col("error").isNull()
+    title = F.when(is_post, F.col("title")).otherwise(F.coalesce(F.nullif(js_trim(_string(a, "$.title")), F.lit("")), F.lit(P.UNTITLED_ARTICLE)))
+    df = stage(df, _head=F.struct(
+        F.when(ok, F.col("author")).alias("author"), F.when(ok, title).alias("title"), F.when(is_post, F.col("_post")).alias("post"), "cover", "error",
         F.nullif(js_trim(_string(a, "$.preview_text")), F.lit("")).alias("preview"),
-        F.size(_list(a, "$.content.blocks")).alias("block_count"), F.size("entities").alias("entity_count"))
-    head = head.join(body, F.col(doc).eqNullSafe(F.col("_doc")), "left")
-    parts = F.array(F.concat(F.lit("# "), F.col("title")), F.concat(F.lit("![Cover image]("), F.col("cover"), F.lit(")")),
-                    F.coalesce(F.nullif(F.col("body"), F.lit("")), F.col("preview")))
-    markdown = F.concat(js_trim(F.array_join(parts, "\n\n")), F.lit("\n"))        # null parts are left out
-    head = head.select(doc, "author", "title", markdown.alias("markdown"), "block_count", "entity_count", "error")
-    none = F.lit(None).cast("string")
-    bad = read.where(F.col("error").isNotNull()).select(doc, none.alias("author"), none.alias("title"), none.alias("markdown"),
-                                                        zero.alias("block_count"), zero.alias("entity_count"), "error")
-    return head.unionByName(out).unionByName(bad)
+        F.size(_list(a, "$.content.blocks")).alias("block_count"), F.size("entities").alias("entity_count")))
+    lines = rendered_blocks(df, doc, "_head")
+    piece = F.concat(F.when(F.col("blank_before"), F.lit("\n")).otherwise(F.lit("")), F.col("line"))
+    whole = lines.groupBy(doc).agg(F.any_value("_head").alias("_head"),
+                                   F.array_sort(F.collect_list(F.when(F.col("keep"), F.struct("pos", piece.alias("p"))))).alias("ps"))
+    h = F.col("_head")
+    body = P.joined_lines(F.transform("ps", lambda s: s["p"]))
+    parts = F.array(F.concat(F.lit("# "), h["title"]), F.concat(F.lit("![Cover image]("), h["cover"], F.lit(")")),
+                    F.coalesce(F.nullif(body, F.lit("")), h["preview"]))
+    article = F.concat(js_trim(F.array_join(parts, "\n\n")), F.lit("\n"))         # null parts are left out
+    markdown = F.when(h["error"].isNull(), F.coalesce(h["post"], article))
+    return whole.select(doc, "_head.author", "_head.title", markdown.alias("markdown"), "_head.block_count", "_head.entity_count", "_head.error")

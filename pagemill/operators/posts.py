@@ -95,14 +95,18 @@ def render_blocks(blocks: DataFrame, doc: str = "doc_id", pos: str = "pos") -> D
     return b.withColumn("blank_before", sep).drop("_prev_type", "_emitted_before")
 
 
+def joined_lines(lines: Column) -> Column:
+    """Lines (an array) as one text: at most one blank line between two, trimmed."""
+    return js_trim(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"))
+
+
 def assemble(lines: DataFrame, doc: str = "doc_id", pos: str = "pos") -> DataFrame:
     """Join a document's kept lines in order, collapse 3+ newlines, trim."""
     kept = lines.where("keep")
     piece = F.concat(F.when(F.col("blank_before"), F.lit("\n")).otherwise(F.lit("")), F.col("line"))
     g = kept.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct(F.col(pos), piece.alias("p")))).alias("ps"),
                               F.count("*").alias("lines"))
-    text = F.array_join(F.transform("ps", lambda s: s["p"]), "\n")
-    return g.select(doc, "lines", js_trim(F.regexp_replace(text, r"\n{3,}", "\n\n")).alias("markdown"))
+    return g.select(doc, "lines", joined_lines(F.transform("ps", lambda s: s["p"])).alias("markdown"))
 
 
 def best_variant(variants: DataFrame) -> DataFrame:

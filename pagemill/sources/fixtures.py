@@ -254,3 +254,65 @@ def beacons(spark: SparkSession, sf_dir: str) -> DataFrame:
     declared = F.when(eid % 37 == 0, F.lit(4096)).otherwise(F.length(body)).cast("bigint")
     return ev.select("event_id", "ts", method.alias("method"), origin.alias("origin"),
                      fetch_site.alias("sec_fetch_site"), declared.alias("content_length"), body.alias("body"))
+
+
+def post_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """a provider payload (JSON) per conversation: an article, or a plain post for every fifth.
+
+    A turn is a block with style and entity ranges (some overlapping, out of
+    range or of unknown kind) and brings four entities; the entity map is an
+    array, an object of wrappers or an object of entities.
+    """
+    c = read_table(spark, sf_dir, "conversations")
+    conv, t = F.col("conv_id"), F.col("turn")
+    name = F.concat(conv.cast("string"), F.lit("-"), t.cast("string"))
+    fixed = lambda x: F.lit(x)
+    btype = (F.when(t % 3 == 2, "atomic").when(F.col("role") == "system", "header-one")
+             .when(F.col("role") == "user", F.when(t % 4 < 2, "ordered-list-item").otherwise("blockquote"))
+             .otherwise(F.when(t % 3 == 0, "unstyled").otherwise("code-block")))
+    text = F.when((conv + t) % 4 == 0, F.concat(F.lit("\U0001F600 "), F.col("text"))).otherwise(F.col("text"))
+    styles = fixed('[{"offset":0,"length":4,"style":"Bold"},{"offset":0,"length":8,"style":"Italic"},{"offset":2,"length":3,"style":"Code"},'
+                   '{"offset":4,"length":5,"style":"Strikethrough"},{"offset":3,"length":100000,"style":"Underline"},'
+                   '{"offset":3,"length":2,"style":"Blink"},{"offset":5,"length":0,"style":"Bold"}]')
+    key = lambda k: (t * 10 + k).cast("string")
+    ranges = F.concat(F.lit('[{"key":'), key(0), F.lit(',"offset":5,"length":8},{"key":'), key(1), F.lit(',"offset":0,"length":1},{"key":'), key(2),
+                      F.lit(',"offset":0,"length":1},'), F.when((conv + t) % 6 == 5, F.concat(F.lit('{"key":'), key(3), F.lit(',"offset":0,"length":1},'))).otherwise(""),
+                      F.lit('{"key":99999,"offset":0,"length":1},{"key":"7","offset":0,"length":1}]'))
+    block = F.concat(F.lit('{"type":"'), btype, F.lit('","text":'), F.to_json(F.struct(text.alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(text.alias("x")))) - 6),
+                     F.lit(',"data":{"depth":'), (t % 3).cast("string"), F.lit('},"inlineStyleRanges":'), styles, F.lit(',"entityRanges":'), ranges, F.lit("}"))
+    url = F.when(t % 4 == 3, "").otherwise(F.concat(F.lit("https://link.example/"), name))
+    link = lambda u: F.concat(F.lit('{"type":"LINK","data":{"url":"'), u, F.lit('"}}'))
+    media = F.concat(F.lit('{"type":"MEDIA","data":{"caption":" Cap [c] ","url":"https://own.example/'), name, F.lit('","mediaItems":[{"mediaId":"m'), name,
+                     F.lit('"},{"media_id":"cover'), conv.cast("string"), F.lit('"}]}}'))
+    emoji = F.concat(F.lit('{"type":"TWEMOJI","data":{"url":"https://emoji.example/'),
+                     F.when(t % 2 == 0, "72x72/1f468-200d-1f469.svg?x=1").otherwise("72x72/smile.svg"), F.lit('"}}'))
+    table = F.lit('{"type":"MARKDOWN","data":{"markdown":" | a |\\r\\n| b | "}}')
+    values = [(0, link(url)), (1, media), (2, emoji), (3, table)]
+    listed = F.concat_ws(",", F.concat(F.lit('{"key":"'), key(0), F.lit('","value":'), link(F.lit("https://old.example/")), F.lit("}")),
+                         *[F.concat(F.lit('{"key":'), key(k), F.lit(',"value":'), v, F.lit("}")) for k, v in values])
+    wrapped = F.concat_ws(",", *[F.concat(F.lit('"w'), key(k), F.lit('":{"key":"'), key(k), F.lit('","value":'), v, F.lit("}")) for k, v in values])
+    bare = F.concat_ws(",", *[F.concat(F.lit('"'), key(k), F.lit('":'), v) for k, v in values])
+    variants = F.concat(F.lit('[{"bit_rate":1,"content_type":"video/mp4","url":"https://v.example/low"},{"bit_rate":5,"content_type":"video/mp4","url":"https://v.example/'),
+                        name, F.lit('"},{"bit_rate":9,"content_type":"application/x-mpegURL","url":"https://v.example/list"}]'))
+    medium = F.when(t % 2 == 0, F.concat(
+        F.lit('{"media_id":"m'), name, F.lit('","media_info":{'),
+        F.when(t % 4 == 2, F.concat(F.lit('"variants":'), variants)).otherwise(F.concat(F.lit('"original_img_url":"https://img.example/'), name, F.lit('.jpg"'))), F.lit("}}")))
+    rows = c.select("conv_id", "turn", block.alias("block"), medium.alias("medium"),
+                    F.when(conv % 3 == 0, listed).when(conv % 3 == 1, wrapped).otherwise(bare).alias("entities"), F.col("text").alias("first"))
+    docs = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "block", "medium", "entities", "first"))).alias("p"))
+    joined = lambda f: F.array_join(F.transform("p", lambda x: x[f]), ",")
+    cid = conv.cast("string")
+    entity_map = (F.when(conv % 3 == 0, F.concat(F.lit("["), joined("entities"), F.lit(',{"key":"x","value":{"type":"LINK"}}]')))
+                  .otherwise(F.concat(F.lit("{"), joined("entities"), F.lit(',"x":{"type":"LINK"}}'))))
+    cover = F.when(conv % 3 != 1, F.concat(F.lit(',"cover_media":{"media_id":"cover'), cid, F.lit('","media_info":{"preview_image":{"original_img_url":"https://cover.example/'),
+                                           cid, F.lit('.jpg"}}}'))).otherwise("")
+    title = F.when(conv % 7 == 0, " ").otherwise(F.concat(F.lit(" Title "), cid))
+    article = F.concat(F.lit('"article":{"title":"'), title, F.lit('","preview_text":" Preview "'), cover, F.lit(',"media_entities":['), joined("medium"),
+                       F.lit('],"content":{"entityMap":'), entity_map, F.lit(',"blocks":['), joined("block"), F.lit("]}}"))
+    plain = F.concat(F.lit('"text":'), F.to_json(F.struct(F.col("p")[0]["first"].alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col("p")[0]["first"].alias("x")))) - 6),
+                     F.lit(',"media":[{"type":"photo","url":"https://img.example/'), cid, F.lit('.jpg","altText":"Alt"}]'))
+    author = F.concat(F.lit('"author":{'), F.when(conv % 4 == 0, "").otherwise(F.concat(F.lit('"name":"Person '), cid, F.lit('",'))),
+                      F.lit('"screen_name":"user'), cid, F.lit('"},'))
+    payload = (F.when(conv % 11 == 10, F.lit("<html>busy</html>"))
+               .otherwise(F.concat(F.lit('{"code":200,"tweet":{'), author, F.when(conv % 5 == 4, plain).otherwise(article), F.lit("}}"))))
+    return docs.select("conv_id", payload.alias("payload"))
