@@ -123,3 +123,21 @@ def admit_misses(requests: DataFrame, actor: Column, window: str = ADMISSION_WIN
     out = r.join(top, tie, "left")
     return out.withColumn("admitted", F.col("_rn").isNotNull()).withColumnRenamed("_rn", "admit_rank") \
         .drop("_actor", "_win", "_salt")
+
+
+def flag_admitted(requests: DataFrame, miss: Column, actor: Column, window: str = ADMISSION_WINDOW, limit: int = ADMISSION_LIMIT,
+                  ts: str = "ts", tie: str = "event_id") -> DataFrame:
+    """W03 on some of the rows: ``admitted`` of the rows where ``miss`` holds, null for the others.
+
+    The same exact top-N in two stages as :func:`admit_misses`, but in one pass
+    over the requests: rows that take no part stand in groups of their own.
+    """
+    alone = F.concat(F.lit("~"), F.col(tie).cast("string"))
+    r = (requests.withColumn("_miss", F.coalesce(miss, F.lit(False)))
+         .withColumn("_who", F.when(F.col("_miss"), F.concat(F.lit("="), F.coalesce(actor.cast("string"), F.lit("")))).otherwise(alone))
+         .withColumn("_win", F.when(F.col("_miss"), F.window(F.col(ts), window)["start"]))
+         .withColumn("_salt", F.when(F.col("_miss"), F.pmod(F.xxhash64(F.col(tie)), F.lit(SALT_BUCKETS)))))
+    first = F.row_number().over(Window.partitionBy("_who", "_win", "_salt").orderBy(ts, tie))
+    r = r.withColumn("_near", F.col("_miss") & (first <= limit)).withColumn("_who", F.when(F.col("_near"), F.col("_who")).otherwise(alone))
+    rank = F.row_number().over(Window.partitionBy("_who", "_win").orderBy(ts, tie))
+    return r.withColumn("admitted", F.when(F.col("_miss"), F.col("_near") & (rank <= limit))).drop("_miss", "_who", "_win", "_salt", "_near")

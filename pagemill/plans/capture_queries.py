@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import text as X
 from pagemill.operators import admission as A
 from pagemill.operators import documents as Dm
+from pagemill.operators.extraction import HTML_TYPE, MARKDOWN_TYPE, content_kind, fetch_outcome
 from pagemill.plans import duck as D
 from pagemill.plans import oracle_fixtures as OF
 from pagemill.plans.registry import register
@@ -22,31 +23,12 @@ REASON_MESSAGES = {
     "port": "Only standard web ports are supported.",
     "private": "Private and reserved network URLs are not supported.",
 }
-MARKDOWN_TYPE = r"(?i)(?:text|application)/(?:x-)?markdown"
-HTML_TYPE = r"(?i)text/html|application/xhtml\+xml"
-
-
-def fetch_outcome(status, location):
-    """3xx needs a location; any other non-2xx is an error message."""
-    return (F.when((status >= 300) & (status < 400),
-                   F.when(location.isNull(), F.concat(F.lit("Redirect "), status.cast("string"), F.lit(" had no destination.")))
-                   .otherwise(F.lit("redirect")))
-            .when((status < 200) | (status >= 300), F.concat(F.lit("The website returned HTTP "), status.cast("string"), F.lit(".")))
-            .otherwise(F.lit("ok")))
-
-
 def d_fetch_outcome():
     return ("(case when status >= 300 and status < 400 then case when location is null then 'Redirect ' || cast(status as varchar) "
             "|| ' had no destination.' else 'redirect' end when status < 200 or status >= 300 then 'The website returned HTTP ' "
             "|| cast(status as varchar) || '.' else 'ok' end)")
 
 
-def content_kind(ctype):
-    """Native Markdown, HTML, or unsupported."""
-    return (F.when(ctype.rlike(MARKDOWN_TYPE), F.lit("native-markdown"))
-            .when(ctype.rlike(HTML_TYPE), F.lit("html")).otherwise(F.lit("unsupported")))
-
-
 @register("q_captures", "S02 D14",
           f"select page_id, {D.canonical_url('url')} as final_url, content_type, cast(octet_length(encode(body)) as bigint) as source_bytes "
           f"from ({D.parts_cte(f'({OF.CAPTURES})', 'url')})")

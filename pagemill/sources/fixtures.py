@@ -316,3 +316,39 @@ def post_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     payload = (F.when(conv % 11 == 10, F.lit("<html>busy</html>"))
                .otherwise(F.concat(F.lit('{"code":200,"tweet":{'), author, F.when(conv % 5 == 4, plain).otherwise(article), F.lit("}}"))))
     return docs.select("conv_id", payload.alias("payload"))
+
+
+def fallback_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """all captures of a page: fetched (F3), refused, rendered as HTML and as Markdown, encyclopedia payload."""
+    from pagemill.operators.admission import admit
+    p = admit(captures(spark, sf_dir), "url").drop("canon_parts", "verdict", "route", "cache_key")
+    pid = F.col("page_id")
+    sid = pid.cast("string")
+    wiki = pid % 9 == 4
+    source = F.when(wiki, F.concat(F.lit("https://en.wikipedia.org/wiki/Page_"), sid)).otherwise(F.col("canonical_url"))
+    article = F.regexp_extract("body", r"(?s)<article[^>]*>(.*?)</article>", 1)
+    payload = F.when(pid % 2 == 0, F.to_json(F.struct(F.struct(F.concat(F.lit("Page "), sid).alias("title"), article.alias("text")).alias("parse")))) \
+        .otherwise(F.lit('{"error":{"info":"The page is missing."}}'))
+    answer = lambda status, ok, result: F.struct(F.lit(status).alias("status"), F.lit(ok).alias("success"), result.alias("result"))
+    none = F.lit(None).cast("string")
+    html = (F.when(pid % 4 == 3, F.lit(None)).when(pid % 3 == 0, answer(200, True, F.concat(F.lit(" "), F.col("body"), F.lit("\n"))))
+            .when(pid % 3 == 1, answer(200, False, F.col("body"))).otherwise(answer(503, True, none)))
+    text = (F.when(pid % 5 < 2, F.concat(F.lit("  # Rendered "), sid, F.lit("\n\nSome *text* [here](https://a.example/)  "))).when(pid % 5 == 2, F.lit("Plain rendered text"))
+            .when(pid % 5 == 3, F.lit("Main menu\nand Toggle the table of contents")).otherwise(F.lit("  \n")))
+    md = F.when(pid % 4 == 3, F.lit(None)).otherwise(answer(200, True, text))
+    refused = F.when(pid % 13 == 5, F.lit("Private and reserved network URLs are not supported."))
+    return p.select(
+        pid.alias("id"), source.alias("source_url"), F.timestamp_add("DAY", pid % 20, F.lit("2024-01-01 00:00:00").cast("timestamp")).alias("fetched_at"),
+        refused.alias("fetch_error"), F.col("canonical_url").alias("final_url"), "status", "location", "content_type", "body",
+        F.when(wiki, payload).alias("wiki_body"), html.alias("rendered_html"), md.alias("rendered_md"))
+
+
+def extraction_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """what extraction gave for each cache key (one row a key): the captures answered 200 with a known type succeed."""
+    from pagemill.operators.admission import admit
+    p = admit(captures(spark, sf_dir).drop("body"), "url")
+    ok = (F.col("status") == 200) & ~F.col("content_type").contains("pdf")
+    row = F.struct("page_id", ok.alias("ok"), F.when(F.col("content_type").contains("markdown"), "native-markdown").otherwise("direct-html").alias("provider"),
+                   (F.col("page_id") % 70).cast("bigint").alias("words"))
+    p = p.groupBy("cache_key").agg(F.max(row).alias("r"))
+    return p.select("cache_key", "r.ok", "r.provider", "r.words", (F.col("r.words") * 6).alias("markdown_bytes"))
