@@ -234,7 +234,11 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def beacons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Browser beacons posted to the event endpoint."""
-    ev = read_events(spark, sf_dir)
+    return beacons_from(read_events(spark, sf_dir))
+
+
+def beacons_from(ev: DataFrame) -> DataFrame:
+    """Beacons of an events frame (batch or streaming)."""
     eid, et = F.col("event_id"), F.col("event_type")
     names = U.BROWSER_EVENTS + ["page_view"]
     pages = U.BROWSER_PAGES + ["admin"]
@@ -352,3 +356,44 @@ def extraction_results(spark: SparkSession, sf_dir: str) -> DataFrame:
                    (F.col("page_id") % 70).cast("bigint").alias("words"))
     p = p.groupBy("cache_key").agg(F.max(row).alias("r"))
     return p.select("cache_key", "r.ok", "r.provider", "r.words", (F.col("r.words") * 6).alias("markdown_bytes"))
+
+
+SITE_KEY = "0f0f-site-key"          # ownership key of the submissions
+
+
+def site_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """what a crawl of each host's site brought: root, robots, sitemaps, image, guides, the www redirect.
+
+    Sitemaps list the host's pages, 1,000 ids a file; every tenth page is not listed.
+    """
+    from pagemill.operators.admission import admit
+    p = admit(read_pages(spark, sf_dir, "page_id", "url"), "url")
+    p = p.where(F.col("verdict") == "ok").select("page_id", F.col("canonical_url").alias("url"), F.col("canon_parts.host").alias("host"))
+    day = F.concat(F.lit("2024-01-"), F.lpad((F.col("page_id") % 28 + 1).cast("string"), 2, "0"))
+    entry = F.concat(F.lit("<url><loc>"), F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit("</loc><lastmod>"), day, F.lit("</lastmod></url>"))
+    file = F.floor(F.col("page_id") / 1000)
+    maps = p.groupBy("host", file.alias("file")).agg(F.concat_ws("", F.collect_list(F.when(F.col("page_id") % 10 != 7, entry))).alias("x"), F.min("page_id").alias("least"))
+    origin = F.concat(F.lit("https://"), F.col("host"))
+    head = F.lit('<?xml version="1.0" encoding="UTF-8"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">')
+    # the file with the site's own paths is sitemap.xml
+    own = lambda path: F.concat(F.lit("<url><loc>"), origin, F.lit(path), F.lit("</loc></url>"))
+    maps = maps.select("host", F.concat(F.lit("/sitemap-"), F.col("file").cast("string"), F.lit(".xml")).alias("path"), F.lit(200).alias("status"),
+                       F.lit("application/xml").alias("content_type"), F.lit(None).cast("string").alias("location"), F.concat(head, F.col("x"), F.lit("</urlset>")).alias("body"))
+    h = p.groupBy("host").agg(F.min("page_id").alias("hid"))
+    hid = F.col("hid")
+    guide = lambda path, title: F.concat(F.lit('<html><head><link rel="canonical" href="'), origin, F.lit(path), F.lit('"></head><h1>'), F.lit(title), F.lit("</h1></html>"))
+    doc = lambda path, status, kind, body, location=F.lit(None).cast("string"): F.struct(
+        F.lit(path).alias("path"), status.alias("status"), F.lit(kind).alias("content_type"), location.alias("location"), body.alias("body"))
+    root = F.concat(F.lit('<html><head><link rel="canonical" href="'), origin, F.lit('/" />'), F.when(hid % 3 == 0, '<meta name="description" content="d">').otherwise(""),
+                    F.when(hid % 4 == 0, '<script type="application/ld+json">{}</script>').otherwise(""), F.lit("</head></html>"))
+    site_map = F.concat(head, own("/"), own("/url-to-markdown/"), own("/webpage-to-markdown/"), F.when(hid % 2 == 0, own("/x-to-markdown/")).otherwise(""), F.lit("</urlset>"))
+    ok = F.lit(200)
+    docs = F.array(
+        doc("/", F.when(hid % 5 == 4, 500).otherwise(200), "text/html", root),
+        doc("/robots.txt", ok, "text/plain", F.concat(F.lit("User-agent: *\n"), F.when(hid % 3 != 1, F.concat(F.lit("Sitemap: "), origin, F.lit("/sitemap.xml"))).otherwise(""))),
+        doc("/sitemap.xml", ok, "application/xml", site_map), doc("/og.png", F.when(hid % 7 == 0, 404).otherwise(200), "image/png", F.lit("")),
+        doc("/url-to-markdown/", ok, "text/html", guide("/url-to-markdown/", "URL to Markdown")),
+        doc("/webpage-to-markdown/", F.when(hid % 6 == 0, 404).otherwise(200), "text/html", guide("/webpage-to-markdown/", "Webpage to Markdown")),
+        doc("/x-to-markdown/", ok, "text/html", guide("/x-to-markdown/", "Another title")),
+        doc("www", F.when(hid % 2 == 0, 308).otherwise(301), "text/html", F.lit(""), F.concat(origin, F.lit("/"))))
+    return h.select("host", F.inline(docs)).unionByName(maps)

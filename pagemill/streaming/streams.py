@@ -1,4 +1,4 @@
-"""Structured Streaming twins of the batch operators.
+"""Structured Streaming twins of the batch operators.
 
 Sources are file streams over the events table; every sink is written
 under the cluster's shared checkpoint folder (``spark.checkpoint.dir``), so
@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.operators import admission as A
 from pagemill.operators import usage as G
 from pagemill.session import checkpoint_dir
 from pagemill.sources import fixtures as FX
@@ -72,3 +73,37 @@ def stream_daily(spark: SparkSession, sf_dir: str, run: str | None = None, files
 
     partials = _partials(ev, daily, _run_dir(spark, "daily", run))
     return partials.groupBy("day", "event_type").agg(F.sum("n").alias("n"))
+
+
+def write_beacons(batch: DataFrame, batch_id: int, out: str) -> None:
+    """The sinks of one micro-batch of beacons: counters of the accepted, and the rejected as they came.
+
+    The batch is judged once and kept for both sinks.  Each sink's part of a
+    batch is replaced as a whole, so a batch that is run again leaves one copy.
+    """
+    judged = A.beacon_status(batch).persist()
+    try:
+        for name, rows in (("accepted", G.rollup_usage(beacon_usage(judged))), ("rejected", judged.where("status <> 204"))):
+            rows.write.mode("overwrite").parquet(os.path.join(out, name, f"batch_id={batch_id}"))
+    finally:
+        judged.unpersist()
+
+
+def beacon_usage(judged: DataFrame) -> DataFrame:
+    """Usage events of the accepted beacons."""
+    none = F.lit(None).cast("string")
+    return judged.where("status = 204").select(
+        "ts", F.col("event").alias("event_name"), F.when(F.col("event") == "browser_page_view", "loaded").otherwise("recorded").alias("outcome"),
+        none.alias("cache_status"), F.col("page").alias("source"), none.alias("provider"), F.col("status").alias("status_code"),
+        *[F.lit(0).alias(m) for m in G.MEASURES])
+
+
+def stream_beacons(spark: SparkSession, sf_dir: str, run: str | None = None, files_a_batch: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(usage counters of the accepted beacons, rejected beacons) after the stream has read what there is."""
+    out = _run_dir(spark, "beacons", run)
+    stream = FX.beacons_from(_events_stream(spark, sf_dir, files_a_batch))
+    q = (stream.writeStream.foreachBatch(lambda batch, batch_id: write_beacons(batch, batch_id, out))
+         .option("checkpointLocation", os.path.join(out, "checkpoint")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    read = lambda name: spark.read.parquet(os.path.join(out, name)).drop("batch_id")
+    return G.merge_usage(read("accepted")), read("rejected")
