@@ -215,7 +215,7 @@ _DOTS_RE = r"(^|/)(\.|%2[eE]){1,2}(/|$)"
 
 
 def _dot_segments(path: Column) -> Column:
-    """Remove '.' and '..' path segments (as the WHATWG path parser does)."""
+    """Remove '.' and '..' segments of a path that has some (as the WHATWG path parser does)."""
     parts = F.split(path, "/", -1)
     segs = F.slice(parts, 2, F.size(parts))
     n = F.size(segs)
@@ -237,6 +237,11 @@ def _dot_segments(path: Column) -> Column:
     return F.concat(F.lit("/"), F.array_join(out, "/"))
 
 
+def _no_dots(path: Column) -> Column:
+    """``path`` without '.' and '..' segments; one that has none is passed on."""
+    return F.when(path.rlike(_DOTS_RE), _dot_segments(path)).otherwise(path)
+
+
 def canonical_bits(p: Column) -> dict[str, Column]:
     """Port (with ``:``; empty if it is the default), path and query of the canonical form."""
     port_num = p["port"].try_cast("int")
@@ -436,10 +441,10 @@ def resolve_location_p(p: Column, loc: Column) -> Column:
     return (
         F.when(l.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:") | l.startswith("//"),
                F.when(head == "", absolute).otherwise(
-                   F.concat(head, _dot_segments(tail_path), F.substring(tail, F.length(tail_path) + 1, F.length(tail)))))
-        .when(l.startswith("/"), F.concat(origin, _dot_segments(path), rest))
+                   F.concat(head, _no_dots(tail_path), F.substring(tail, F.length(tail_path) + 1, F.length(tail)))))
+        .when(l.startswith("/"), F.concat(origin, _no_dots(path), rest))
         .when(l.startswith("?"), F.concat(origin, base_path, l))
         .when(l.startswith("#"), F.concat(origin, base_path, query, l))
         .when(l == "", F.concat(origin, base_path, query))
-        .otherwise(F.concat(origin, _dot_segments(F.concat(base_dir, path)), rest))
+        .otherwise(F.concat(origin, _no_dots(F.concat(base_dir, path)), rest))
     )

@@ -199,3 +199,56 @@ def fetch_list(urls: DataFrame, url_col: str = "canonical_url") -> DataFrame:
                     F.lit("/status/"), ref["id"])
     api = F.when(F.col("_is_post"), F.when(ref["error"].isNull(), post)).when(title.isNotNull(), wiki)
     return staged.withColumn("api_url", api).drop("_ref", "_title", "_is_post")
+
+
+# Outcomes of a followed chain; a refused hop is ``REFUSED:`` and the verdict.
+CHAIN_OK, CHAIN_TOO_MANY, CHAIN_NO_LOCATION, CHAIN_UNKNOWN, CHAIN_REFUSED = "OK", "TOO_MANY", "NO_LOCATION", "NOT_CAPTURED", "REFUSED"
+
+
+def redirect_targets(captures: DataFrame) -> DataFrame:
+    """One row a captured URL: ``src`` (canonical), ``step`` and, for a redirect, ``next``.
+
+    ``captures`` has url, status and location.  A location is resolved against
+    its URL (U11) and admitted again (P10): ``step`` is OK for an answer that
+    is no redirect, MOVED for one that may be followed, NO_LOCATION, or the
+    refusal.  Of the captures of one URL the one with the greatest
+    (status, location) counts.
+    """
+    c = admit(captures.select("url", "status", "location"), "url").where(F.col("verdict") == "ok")
+    moved = (F.col("status") >= 300) & (F.col("status") < 400)
+    c = c.groupBy(F.col("canonical_url").alias("src")).agg(F.max(F.struct("status", "location")).alias("_a"), F.any_value("canon_parts").alias("_p"))
+    c = c.select("src", "_a.*", "_p")
+    c = stage(c, target=F.when(moved & F.col("location").isNotNull(), U.resolve_location_p(F.col("_p"), F.col("location")))).drop("_p")
+    c = admit(c, "target")
+    step = (F.when(~moved, F.lit(CHAIN_OK)).when(F.col("location").isNull(), F.lit(CHAIN_NO_LOCATION))
+            .when(F.col("verdict") != "ok", F.concat(F.lit(CHAIN_REFUSED + ":"), F.col("verdict"))).otherwise(F.lit("MOVED")))
+    return c.select("src", F.coalesce(step, F.lit(CHAIN_UNKNOWN)).alias("step"), F.when(step == "MOVED", F.col("canonical_url")).alias("next"))
+
+
+def follow_locations(starts: DataFrame, captures: DataFrame, max_hops: int = MAX_REDIRECTS) -> DataFrame:
+    """J04 by location: ``start``, ``final``, ``hops`` and ``status`` of the chain from each start URL.
+
+    ``starts`` has start (an id, unique) and url.  Every capture's target is
+    resolved and judged once; the chain is then ``max_hops + 1`` equi-joins on
+    URLs over that table, whose exchange is reused.  Ended chains have join
+    keys of their own, so they spread.  A loop ends, like any long chain, at
+    the hop beyond ``max_hops``.
+    """
+    targets = redirect_targets(captures)
+    first = admit(starts.select("start", "url"), "url")
+    refused = F.when(F.col("verdict") != "ok", F.concat(F.lit(CHAIN_REFUSED + ":"), F.col("verdict")))
+    cur = first.select("start", F.coalesce("canonical_url", "url").alias("final"), F.lit(0).cast("bigint").alias("hops"), refused.alias("status"))
+    alone = F.concat(F.lit("~"), F.col("start").cast("string"))
+    for hop in range(max_hops + 1):
+        cur = cur.withColumn("_k", F.when(F.col("status").isNull(), F.col("final")).otherwise(alone)).join(targets, F.col("_k") == F.col("src"), "left")
+        moved = F.col("step") == "MOVED"
+        ended = F.when(F.col("src").isNull(), F.lit(CHAIN_UNKNOWN)).when(~moved, F.col("step"))
+        if hop == max_hops:
+            ended = F.coalesce(ended, F.lit(CHAIN_TOO_MANY))
+        open_ = F.col("status").isNull()
+        on = open_ & moved & F.lit(hop < max_hops)
+        # one row a chain: its state after this hop
+        cur = stage(cur.select("start", "final", "hops", "status", "src", "step", "next"), _s=F.struct(
+            F.when(on, F.col("next")).otherwise(F.col("final")).alias("final"), (F.col("hops") + F.coalesce(on, F.lit(False)).cast("bigint")).alias("hops"),
+            F.coalesce("status", ended).alias("status"))).select("start", "_s.*")
+    return cur

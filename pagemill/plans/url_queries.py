@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import urls as U
 from pagemill.operators import admission as A
+from pagemill.operators.staging import stage
 from pagemill.plans import duck as D
 from pagemill.plans import oracle_fixtures as OF
 from pagemill.plans.registry import register
@@ -281,9 +282,8 @@ from p"""
 def q_redirect_resolve(spark, d):
     from pagemill.sources.tables import read_pages
     p = read_pages(spark, d, "page_id", "url")
-    c = A.admit(p, "url").select("page_id", F.col("canonical_url").alias("canon"),
-                                  _loc_variant(F.col("page_id")).alias("location"))
-    return c.select("page_id", "location", U.resolve_location(F.col("canon"), F.col("location")).alias("resolved"))
+    c = stage(A.admit(p, "url").select("page_id", "canon_parts"), location=_loc_variant(F.col("page_id")))
+    return c.select("page_id", "location", U.resolve_location_p(F.col("canon_parts"), F.col("location")).alias("resolved"))
 
 
 def _redirects_sql():
@@ -332,3 +332,37 @@ def q_request_url(spark, d):
     q = _request_url_frame(spark, d)
     return q.select("event_id", A.request_url(F.col("method"), F.col("request_url"), F.col("content_type"),
                                               F.col("body")).alias("submitted"))
+
+
+def _chains_sql():
+    key = "page_id, url, status, location"
+    return f"""with recursive cap as (
+  select p.page_id, p.url, case when p.page_id % 16 = 0 then 200 when p.page_id % 8 = 0 then 404 when p.page_id % 2 = 0 then 301 else 302 end as status,
+    case p.page_id % 16 when 3 then './a/../next?x=1' when 5 then 'http://10.0.0.1/' when 6 then null when 9 then p.url when 12 then '/rooted#f' else n.url end as location
+  from pages p left join pages n on n.page_id = p.page_id + 1
+), c as (
+  select {D.canonical_url('url')} as src, u_host, u_scheme, u_path, max({{'s': status, 'l': location}}) as v from ({D.parts_cte('cap', 'url', key)}) where {D.rejection_reason('url')} is null group by all
+), one as (
+  select src, v.s as status, v.l as location, case when v.s < 300 or v.s >= 400 or v.l is null then null when v.l like './%' then u_scheme || '://' || u_host || regexp_replace(case when u_path = '' then '/' else u_path end, '[^/]*$', '') || 'next?x=1'
+    when v.l like '/%' then u_scheme || '://' || u_host || v.l else v.l end as target from c
+  qualify row_number() over (partition by src order by v.s desc, v.l desc nulls last) = 1
+), e as (
+  select src, case when status < 300 or status >= 400 then 'OK' when location is null then 'NO_LOCATION' when {D.rejection_reason('target')} is not null
+    then 'REFUSED:' || {D.rejection_reason('target')} else 'MOVED' end as step, {D.canonical_url('target')} as nxt
+  from ({D.parts_cte('one', 'target', 'src, status, location, target')})
+), f as (
+  select page_id as start, url, {D.canonical_url('url')} as canon, {D.rejection_reason('url')} as reason from ({D.parts_cte('pages', 'url', 'page_id, url')})
+), g(start, final, hops, n, status) as (
+  select start, coalesce(canon, url), cast(0 as bigint), 0, 'REFUSED:' || reason from f
+  union all
+  select start, case when step = 'MOVED' and n < 5 then nxt else final end, hops + case when step = 'MOVED' and n < 5 then 1 else 0 end, n + 1,
+    case when src is null then 'NOT_CAPTURED' when step <> 'MOVED' then step when n = 5 then 'TOO_MANY' end
+  from g left join e on e.src = g.final where status is null
+)
+select start, final, hops, status from g where status is not null"""
+
+
+@register("q_redirect_chains", "J04 U11 P10", _chains_sql)
+def q_redirect_chains(spark, d):
+    c = FX.located_captures(spark, d)
+    return A.follow_locations(c.select(F.col("page_id").alias("start"), "url"), c)

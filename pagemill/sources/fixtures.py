@@ -397,3 +397,15 @@ def site_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         doc("/x-to-markdown/", ok, "text/html", guide("/x-to-markdown/", "Another title")),
         doc("www", F.when(hid % 2 == 0, 308).otherwise(301), "text/html", F.lit(""), F.concat(origin, F.lit("/"))))
     return h.select("host", F.inline(docs)).unionByName(maps)
+
+
+def located_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """captures of the pages of which most redirect: to the next page, relatively, to a private host, nowhere, to themselves."""
+    p = read_pages(spark, sf_dir, "page_id", "url")
+    after = p.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("after"))
+    p = p.join(after, "page_id", "left")
+    m = F.col("page_id") % 16
+    status = F.when(F.col("page_id") % 8 == 0, F.when(m == 0, 200).otherwise(404)).otherwise(F.when(m % 2 == 0, 301).otherwise(302))
+    location = (F.when(m == 3, F.lit("./a/../next?x=1")).when(m == 5, F.lit("http://10.0.0.1/")).when(m == 6, F.lit(None)).when(m == 9, F.col("url"))
+                .when(m == 12, F.lit("/rooted#f")).otherwise(F.col("after")))
+    return p.select("page_id", "url", status.alias("status"), location.alias("location"))

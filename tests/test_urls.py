@@ -109,3 +109,25 @@ def test_admitted_parts_are_those_of_the_canonical_url(spark):
     rows = U.with_url_parts(rows.select("canonical_url", "canon_parts"), "canonical_url", "again").where("canonical_url is not null")
     got = rows.select("canon_parts", "again").collect()
     assert len(got) == 7 and all(r.canon_parts == r.again for r in got)
+
+
+def test_chains_of_located_redirects(spark):
+    """Blocked hop, relative location, loop, redirect without location, unknown page, refused start, chains of five and six."""
+    from pagemill.operators import admission as A
+
+    c = [(f"https://a.example/{i}", 302, f"/{i + 1}") for i in range(1, 8)] + [("https://a.example/8", 200, None), ("https://b.example/x/y", 301, "../z?q#f"),
+         ("https://b.example/z?q", 200, None), ("https://b.example/p", 307, "http://10.1.2.3/"), ("https://b.example/n", 301, None), ("https://b.example/l", 301, "https://b.example/l"),
+         ("https://b.example/u", 301, "//c.example/gone"), ("https://b.example/e", 500, "/z"), ("https://b.example/f", 301, "ftp://b.example/")]
+    starts = [(1, "https://a.example/3"), (2, "https://a.example/2"), (3, "https://b.example/x/y"), (4, "https://b.example/p"), (5, "https://b.example/n"), (6, "HTTPS://B.example:443/l"),
+              (7, "https://b.example/u"), (8, "https://b.example/e"), (9, "http://localhost/"), (10, "https://b.example/f"), (11, None)]
+    got = A.follow_locations(spark.createDataFrame(starts, "start int, url string"), spark.createDataFrame(c, "url string, status int, location string"))
+    assert {r.start: (r.final, r.hops, r.status) for r in got.collect()} == {
+        1: ("https://a.example/8", 5, "OK"), 2: ("https://a.example/7", 5, "TOO_MANY"), 3: ("https://b.example/z?q", 1, "OK"), 4: ("https://b.example/p", 0, "REFUSED:private"),
+        5: ("https://b.example/n", 0, "NO_LOCATION"), 6: ("https://b.example/l", 5, "TOO_MANY"), 7: ("https://c.example/gone", 1, "NOT_CAPTURED"),
+        8: ("https://b.example/e", 0, "OK"), 9: ("http://localhost/", 0, "REFUSED:private"), 10: ("https://b.example/f", 0, "REFUSED:scheme"), 11: (None, 0, "REFUSED:missing_url")}
+
+
+def test_locations_without_dots_are_passed_on(spark):
+    rows = [("https://a.example/x/y", "https://h.example?q"), ("https://a.example/x/y", ""), ("https://a.example/x/y", "z/"), ("https://a.example", "z")]
+    got = spark.createDataFrame(rows, "b string, l string").select(U.resolve_location(F.col("b"), F.col("l")).alias("u")).collect()
+    assert [r.u for r in got] == ["https://h.example?q", "https://a.example/x/y", "https://a.example/x/z/", "https://a.example/z"]
