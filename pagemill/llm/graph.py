@@ -63,11 +63,13 @@ def linked(members: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFram
            max_rounds: int = 4, pairs_a_row: int = 64) -> DataFrame:
     """Links (u, v) that connect all ids which are similar and share a list.
 
-    ``members`` has (list, id, size): the size of the id's set.  Ids are
+    ``members`` has (list, id, size): the size of the id's set, or null; with a
+    column n, the length of the list, lists of one are left out already.  Ids are
     similar up to the Jaccard distance ``reach``.  ``prepare`` gets the ids
     that share a list and returns ``verify``, which takes pairs (a, b) and
     returns them with ``distance``, null only where it is surely over twice
-    ``reach``.
+    ``reach``.  Its attribute ``close``, if there is one, need not return pairs
+    over ``reach``.
 
     Not all pairs of a list are compared.  Each list's members are compared
     with its hub (``hub_pairs``).  The distance is a metric, so two
@@ -82,12 +84,14 @@ def linked(members: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFram
     found, verify = [], None
 
     def links(pairs: DataFrame) -> None:
-        near = verify(pairs).where(F.col("distance") <= reach)
+        near = getattr(verify, "close", verify)(pairs).where(F.col("distance") <= reach)
         found.append(staged(near.select(F.col("a").alias("u"), F.col("b").alias("v")), name))
 
     for at in range(max_rounds):
-        lists = members.groupBy("list").agg(F.count("*").alias("n")).where("n > 1")
-        rows = staged(members.join(lists, "list"), name)
+        if "n" not in members.columns:
+            lists = members.groupBy("list").agg(F.count("*").alias("n")).where("n > 1")
+            members = members.join(lists, "list")
+        rows = staged(members, name)
         size = rows.agg(F.count("*"), F.sum((F.col("n") - 1) / 2)).first()
         if not size[0]:
             break
@@ -96,7 +100,8 @@ def linked(members: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFram
         if size[1] <= size[0] or at and size[1] <= pairs_a_row * size[0] or at == max_rounds - 1:
             left = rows.select("list", F.col("id").alias("a"), F.col("size").alias("sa"))
             right = rows.select("list", F.col("id").alias("b"), F.col("size").alias("sb"))
-            fit = (F.col("a") < F.col("b")) & (F.least("sa", "sb") >= (1 - reach) * F.greatest("sa", "sb"))
+            sizes = F.coalesce(F.least("sa", "sb") >= (1 - reach) * F.greatest("sa", "sb"), F.lit(True))
+            fit = (F.col("a") < F.col("b")) & sizes
             links(left.join(right, (left["list"] == right["list"]) & fit).select("a", "b").distinct())
             break
         star = hub_pairs(rows, name)

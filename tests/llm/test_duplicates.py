@@ -90,6 +90,10 @@ def test_lines_with_one_edit_are_linked(spark, edge_docs, no_docs):
         rows.append((1000 + i, line[:at] + "\u00d8" + line[at + i % 2:]))
     rows += [(3000, "Copyright 2023 Example Publishers and their partners in many other places of the world."),
              (3001, "Copyright 2024 Example Publishers and their partners in many other places of the world.")]
+    # small sets, of which one holds the other or one character differs, at the threshold and below it
+    small = "abcdefghijklmnopqrstuvwxyz0123456789"
+    rows += [(4000 + 50 * n + k, t) for n in range(3, 24) for k, t in enumerate((small[:n], small[:n + 1], "_" + small[:n], "#" + small[:n - 1]))]
+    rows += [(9000 + i, "=" * (30 + i)) for i in range(60)] + [(9100, "\U0001F600" * 40 + "ab"), (9101, "\U0001F600" * 41 + "ab"), (9102, "ab" * 500), (9103, "ab" * 501)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {(r.doc_id, r.line_no): (r.rep_doc_id, r.rep_line_no) for r in line_dedup.line_components(df, dense=True).collect()}
     assert got == brute.line_components(rows, line_sets=brute.dense_line_sets)
