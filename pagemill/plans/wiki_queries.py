@@ -8,48 +8,47 @@ from pagemill.functions import urls as U
 from pagemill.operators import documents as Dm
 from pagemill.operators import encyclopedia as E
 from pagemill.plans import duck as D
+from pagemill.plans.doc_queries import d_text
 from pagemill.plans.registry import register
 from pagemill.sources.tables import read_pages
 
 
+ARTICLE = r"(?s)<article[^>]*>(.*?)</article>"
+
+
 def _payloads(spark, d):
-    """A parse payload per page: error, no text, no JSON, and whole articles with and without a title."""
+    """A parse payload per page with its whole article; some without a title."""
     pid = F.col("page_id")
-    p = read_pages(spark, d, "page_id", "html").withColumn("art", F.regexp_extract("html", r"(?s)<article[^>]*>(.*?)</article>", 1))
-    title = F.when(pid % 5 == 4, F.lit("  ")).otherwise(F.concat(F.lit(" Page "), pid.cast("string")))
-    body = (F.when(pid % 5 == 0, F.lit('{"error":{"info":"The page is missing."}}'))
-            .when(pid % 5 == 1, F.lit('{"parse":{"title":"No text"}}'))
-            .when(pid % 5 == 2, F.lit("{broken"))
-            .otherwise(F.to_json(F.struct(F.struct(title.alias("title"), F.col("art").alias("text")).alias("parse")))))
+    p = read_pages(spark, d, "page_id", "html").withColumn("art", F.regexp_extract("html", ARTICLE, 1))
+    title = F.when(pid % 5 == 4, F.lit("  ")).when(pid % 5 == 2, F.lit(None)).otherwise(F.concat(F.lit(" Page "), pid.cast("string")))
+    body = F.to_json(F.struct(F.struct(title.alias("title"), F.col("art").alias("text")).alias("parse")))
     return p.select("page_id", body.alias("body"), F.concat(F.lit("Some_page_"), pid.cast("string")).alias("page_title"))
 
 
 @register("q_wiki_payload", "S04 F08",
-          f"""with a as (select page_id, regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1) as art from pages)
-select page_id,
-  case when page_id % 5 in (3, 4) and art <> '' then case when page_id % 5 = 4 then 'Some page ' else 'Page ' end || cast(page_id as varchar) end as display_title,
-  case when page_id % 5 = 0 then 'The page is missing.' when page_id % 5 in (1, 2) or art = '' then {D.q(E.ERROR_NO_ARTICLE)} end as error,
-  case when page_id % 5 in (3, 4) and art <> '' then cast(octet_length(encode(art)) as bigint) end as source_bytes from a""")
+          f"""with a as (select page_id, regexp_extract(html, '{ARTICLE}', 1) as art from pages)
+select page_id, case when art <> '' then case when page_id % 5 in (2, 4) then 'Some page ' else 'Page ' end || cast(page_id as varchar) end as display_title,
+  case when art = '' then {D.q(E.ERROR_NO_ARTICLE)} end as error, case when art <> '' then cast(octet_length(encode(art)) as bigint) end as source_bytes from a""")
 def q_wiki_payload(spark, d):
     return E.parse_payload(_payloads(spark, d)).select("page_id", "display_title", "error", "source_bytes")
 
 
 def _fragments(spark, d):
-    """Articles with appendix sections of several kinds, some inside a wrapper, and bulk to strip."""
+    """The pages' articles, followed by appendix sections of several kinds, some inside a wrapper, and bulk to strip."""
     pid = F.col("page_id")
     s = pid.cast("string")
     names = F.element_at(F.array(*[F.lit(x) for x in Dm.APPENDIX_HEADINGS]), (pid % len(Dm.APPENDIX_HEADINGS) + 1).cast("int"))
     inner = F.concat(
+        F.regexp_extract("html", ARTICLE, 1),
         F.lit("<p>Lead"), s, F.lit('<sup class="reference">[1]</sup></p><table><tr><td>cell</table><h2>History</h2><p>Early days</p><h2>'),
         F.lower(names), F.lit("<span>[edit]</span></h2><p>Gone one</p><h3>Notes on maps</h3><ul><li>Gone two</ul>"),
         F.when(pid % 3 == 0, F.lit("<h2>Legacy</h2><p>Stays</p>")).otherwise(F.lit("<h4>Deep</h4><p>Gone three</p>")))
     fragment = F.when(pid % 2 == 0, F.concat(F.lit('<div class="mw-parser-output">'), inner, F.lit("</div><p>Outside</p>"))).otherwise(inner)
-    return read_pages(spark, d, "page_id").select("page_id", fragment.alias("fragment"), F.concat(F.lit("T & "), s).alias("display_title"))
+    return read_pages(spark, d, "page_id", "html").select("page_id", fragment.alias("fragment"), F.concat(F.lit("T & "), s).alias("display_title"))
 
 
 @register("q_appendix_drop", "H07 H08 W06",
-          """select page_id,
-  'T & ' || cast(page_id as varchar) || 'Lead' || cast(page_id as varchar) || 'HistoryEarly days'
+          lambda: f"""select page_id, 'T & ' || cast(page_id as varchar) || {d_text(f"regexp_extract(html, '{ARTICLE}', 1)")} || 'Lead' || cast(page_id as varchar) || 'HistoryEarly days'
     || case when page_id % 3 = 0 then 'LegacyStays' else '' end || case when page_id % 2 = 0 then 'Outside' else '' end as text_left,
   cast(case when page_id % 3 = 0 then 2 else 1 end as integer) as headings_left from pages""")
 def q_appendix_drop(spark, d):

@@ -133,3 +133,13 @@ def test_extraction_splits_the_markdown_once(spark):
     pages = spark.createDataFrame([("https://a.example/", "<p>x</p>")], "final_url string, html string")
     plan = Dm.extract_html(pages).select("markdown")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(_raw_md") == 1
+
+
+def test_encyclopedia_payloads_without_an_article(spark):
+    from pagemill.operators import encyclopedia as E
+
+    rows = [('{"error":{"info":"The page is missing."}}', "A_b"), ('{"parse":{"title":"No text"}}', "A_b"), ("{broken", "A_b"), (None, "A_b"), ('{"error":{}}', "A_b"),
+            ('{"parse":{"title":" T ","text":"<p>x"}}', "A_b"), ('{"parse":{"title":" ","text":"é"}}', "A_b")]
+    got = E.parse_payload(spark.createDataFrame(rows, "body string, page_title string")).collect()
+    assert [r.error for r in got] == ["The page is missing."] + [E.ERROR_NO_ARTICLE] * 4 + [None] * 2
+    assert [(r.fragment, r.display_title, r.source_bytes) for r in got[5:]] == [("<p>x", "T", 4), ("é", "A b", 2)]
