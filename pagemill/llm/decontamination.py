@@ -14,7 +14,7 @@ fingerprints, of fixed size; the join then decides exactly.
 
 Null and empty texts have no words; an item without words has no window.
 Repeated rows: documents are judged row by row through a row key made of
-doc_id and a hash of the text; an item_id counts once, whichever of its texts
+doc_id (which may be null) and a hash of the text; an item_id counts once, whichever of its texts
 occurs.  Empty
 tables give no hits.  Other columns are ignored.
 """
@@ -183,6 +183,12 @@ def _extended(span: int):
     return run
 
 
+def _of_row(rows: DataFrame, more: DataFrame, how: str) -> DataFrame:
+    """``rows`` joined with what is told of their (doc_id, key); doc_id may be null."""
+    more = more.withColumnRenamed("doc_id", "_doc_id").withColumnRenamed("key", "_key")
+    return rows.join(more, rows["doc_id"].eqNullSafe(more["_doc_id"]) & (rows["key"] == more["_key"]), how).drop("_doc_id", "_key")
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10) -> DataFrame:
     """doc_id, key, n_words, n_hit, n_items, items_sha256, contaminated of each row of ``docs``.
 
@@ -209,10 +215,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10) -> Data
     # a document's seeds are bounded by its words and the items that share them
     seeds = (seeds.join(items, "item")
              .groupBy("doc_id", "key").agg(F.collect_list(F.struct("item", "item_id", "item_text", "shift")).alias("seeds")))
-    hits = (docs.join(seeds, ["doc_id", "key"]).mapInArrow(_extended(span), "doc_id long, key long, n_hit long, n_items long, items_sha256 string")
+    hits = (_of_row(docs, seeds, "inner").mapInArrow(_extended(span), "doc_id long, key long, n_hit long, n_items long, items_sha256 string")
             .dropDuplicates(["doc_id", "key"]))
     empty = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"   # SHA-256 of no bytes
-    return (found.select("doc_id", "key", "n_words").join(hits, ["doc_id", "key"], "left")
+    return (_of_row(found.select("doc_id", "key", "n_words"), hits, "left")
             .select("doc_id", "key", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
                     F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
                     F.coalesce("items_sha256", F.lit(empty)).alias("items_sha256"),

@@ -18,7 +18,9 @@ return links only.
 
 Null, empty and blank texts have no set and are linked with nothing.  With
 fewer words than a shingle the whole sequence is the one shingle.  Rows that
-share a doc_id are one document node with a row each.  Other columns are
+share a doc_id are one document node with a row each.  A row without doc_id
+is never kept; its component is that of the documents with its set, or null.
+Other columns are
 ignored by ``near_duplicates``.  An empty table gives an empty result.
 """
 
@@ -195,11 +197,14 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, words_a_shingle: int =
             .withColumn("run", F.explode(F.when(F.col("n_shingles") <= 5, F.array(*map(F.lit, (RUN - 2, RUN - 1, RUN))))
                                          .when(F.col("n_shingles") <= 15, F.array(F.lit(RUN - 1), F.lit(RUN)))
                                          .otherwise(F.array(F.lit(RUN)))))
-            .select("id", F.col("n_shingles").alias("size"),
-                    F.explode(F.transform(at, lambda i: F.xxhash64(F.slice("sketch", i, F.col("run"))))).alias("list")))
+            .select("id", F.explode(F.transform(at, lambda i: F.xxhash64(F.slice("sketch", i, F.col("run"))))).alias("list")))
 
-    lists = keys.groupBy("list").agg(F.count("*").alias("n")).where("n > 1")
-    star = hub_pairs(staged(keys.join(lists, "list"), "op3"), "op3")
+    lists = staged(keys.groupBy("list").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).where("n > 1"), "op3")
+    # lists of the same two documents are one; only of larger ones the members must be looked up
+    two = lists.where("n = 2").groupBy("low", "high").agg(F.min("list").alias("list"))
+    members = (two.select("list", F.explode(F.array("low", "high")).alias("id")).withColumn("n", F.lit(2).cast("long"))
+               .unionByName(keys.join(lists.where("n > 2").select("list", "n"), "list").select("list", "id", "n")))
+    star = hub_pairs(staged(members.withColumn("size", F.lit(None).cast("long")), "op3"), "op3")
 
     # the sketches and full sets of the documents that share a list, read once
     ids = staged(star.select("id").unionByName(star.select(F.col("hub").alias("id"))).distinct(), "op3")
@@ -245,7 +250,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, words_a_shingle: int =
         *same, F.coalesce("component", "rep").alias("component"))
     return (rows.drop("sketch").join(by_class, same, "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-            .withColumn("kept", F.col("doc_id") == F.col("component_id")))
+            .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))))
 
 
 ORACLE = r"""

@@ -51,6 +51,12 @@ def test_near_duplicates_of_edge_rows(edge_docs, no_docs):
     assert near_dedup.near_duplicates(no_docs).collect() == []
 
 
+def test_near_duplicates_without_doc_id(spark):
+    rows = [(None, prose(30, 40)), (None, prose(31, 40)), (7, prose(31, 40)), (None, None)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0, r.kept) for r in got) == [(0, 0, 0, False), (0, 38, 0, False), (0, 38, 7, False), (7, 38, 7, True)]
+
+
 def _lines(df, dense=False):
     return {(r.doc_id, r.line_no): (r.rep_doc_id, r.rep_line_no) for r in line_dedup.line_components(df, dense=dense).collect()}
 

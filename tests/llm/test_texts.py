@@ -241,7 +241,15 @@ def test_line_stage_finds_one_changed_character(spark):
 def test_near_duplicate_stage_keeps_one_of_repeated_rows(spark):
     import corpus_pipeline
 
-    rows = [(1, prose(1, 30), "en", "s", 1), (1, prose(1, 30), "en", "s", 1), (2, prose(1, 30), "en", "t", 1), (3, "", None, None, None)]
+    rows = [(1, prose(1, 30), "en", "s", 1), (1, prose(1, 30), "en", "s", 1), (2, prose(1, 30), "en", "t", 1), (3, "", None, None, None),
+            (5, prose(7, 30), "en", "s", 1), (5, prose(8, 30), "en", "s", 1), (4, prose(8, 30), "en", "s", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, "")
-    assert sorted(r.doc_id for r in got.collect()) == [1, 3]
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == [(1, prose(1, 30)), (3, ""), (4, prose(8, 30)), (5, prose(7, 30))]
+
+
+def test_contamination_of_rows_without_doc_id(spark):
+    item = prose(40, 30)
+    rows = [(None, "before " + item), (None, prose(41, 30)), (None, None), (3, item)]
+    got = decontamination.contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.n_hit, r.contaminated) for r in got) == [(0, 0, 0, False), (0, 30, 0, False), (0, 31, 30, True), (3, 30, 30, True)]
