@@ -17,6 +17,14 @@ from pagemill.operators.staging import stage
 # Fixed values that must equal the reference service's behaviour: HTTP status of each outcome.
 STATUS = {"success": 200, "missing_url": 400, "invalid_url": 400, "rate_limited": 429, "extraction_failed": 502}
 
+# code and message of the answers that are no result (an invalid URL has the message of its check)
+FAILURES = {
+    "missing_url": ("BAD_REQUEST", "A url parameter is required."),
+    "invalid_url": ("BAD_REQUEST", "Invalid URL."),
+    "rate_limited": ("RATE_LIMITED", "Too many uncached conversions. Try again in about a minute."),
+    "extraction_failed": ("EXTRACTION_FAILED", "Extraction failed."),
+}
+
 STORED = ["fetched_at", "expires_at", "provider", "words", "markdown_bytes"]
 
 
@@ -79,3 +87,17 @@ def cache_efficiency(usage: DataFrame) -> DataFrame:
     g = u.groupBy("provider", "source").agg(n("HIT").alias("hits"), n("MISS").alias("misses"), n("STALE").alias("stale"))
     served = F.col("hits") + F.col("stale")
     return g.withColumn("hit_rate", F.try_divide(served, served + F.col("misses")))
+
+
+def answer_lines(decided: DataFrame, message: Column | None = None) -> DataFrame:
+    """event_id and ``line``, the JSON line of each answer: a result with its cache block, or an error.
+
+    ``message`` (may be null) is told in place of the outcome's own.
+    """
+    failed = F.col("outcome")
+    pick = lambda i: F.coalesce(*[F.when(failed == k, F.lit(v[i])) for k, v in FAILURES.items()])
+    told = pick(1) if message is None else F.coalesce(message, pick(1))
+    result = F.to_json(F.struct("provider", F.struct(F.col("markdown_bytes").alias("markdownBytes"), "words").alias("stats"),
+                                F.struct(F.col("cache_key").alias("key"), F.col("cache_status").alias("status")).alias("cache")))
+    error = F.to_json(F.struct(F.struct(pick(0).alias("code"), told.alias("message")).alias("error")))
+    return decided.select("event_id", F.when(failed == "success", result).otherwise(error).alias("line"))

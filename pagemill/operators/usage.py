@@ -190,3 +190,14 @@ def day_spine(spark, start: str, end: str) -> DataFrame:
     return spark.range(1).select(F.explode(F.sequence(F.to_date(F.lit(start)),
                                                       F.date_sub(F.to_date(F.lit(end)), 1))).alias("d")) \
         .select(F.date_format("d", "yyyy-MM-dd").alias("day"))
+
+
+def flatten_batches(answers: DataFrame, payload: str = "payload") -> DataFrame:
+    """The rows of an answer's result batches, one each; a batch without results has none.
+
+    ``payload`` is a JSON array of batches, each with an array ``results`` of objects.
+    """
+    rows = "array<struct<results:array<struct<day:string,event_name:string,event_count:bigint>>>>"
+    batches = F.from_json(F.col(payload), rows)
+    results = F.flatten(F.transform(batches, lambda b: F.coalesce(b["results"], F.array().cast("array<struct<day:string,event_name:string,event_count:bigint>>"))))
+    return answers.select(*[c for c in answers.columns if c != payload], F.inline(results))

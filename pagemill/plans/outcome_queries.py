@@ -10,6 +10,7 @@ from pagemill.operators import outcomes as O
 from pagemill.operators import usage as G
 from pagemill.plans import duck as D
 from pagemill.plans import oracle_fixtures as OF
+from pagemill.plans.capture_queries import REASON_MESSAGES
 from pagemill.plans.freshness_queries import _STORE
 from pagemill.plans.registry import register
 from pagemill.sources import fixtures as FX
@@ -83,3 +84,19 @@ def q_usage_from_requests(spark, d):
 ) select *, (hits + stale) / (hits + stale + misses) as hit_rate from e""")
 def q_cache_efficiency(spark, d):
     return O.cache_efficiency(G.rollup_usage(O.usage_events(_decided(spark, d))))
+
+
+_MESSAGES = "case verdict " + " ".join(f"when {D.q(k)} then {D.q(v)}" for k, v in REASON_MESSAGES.items()) + " end"
+_CODES = " ".join(f"when {D.q(k)} then {D.q(v[0])}" for k, v in O.FAILURES.items())
+_TOLD = " ".join(f"when {D.q(k)} then {D.q(v[1])}" for k, v in O.FAILURES.items())
+
+
+@register("q_result_json", "K04", f"""{_DECIDED}
+select o.event_id, case when o.outcome = 'success' then '{{"provider":"' || o.provider || '","stats":{{"markdownBytes":' || (o.words * 6) || ',"words":' || o.words || '}},"cache":{{"key":"'
+    || cache_key || '","status":"' || o.cache_status || '"}}}}'
+  else '{{"error":{{"code":"' || case o.outcome {_CODES} end || '","message":"' || coalesce({_MESSAGES}, case o.outcome {_TOLD} end) || '"}}}}' end as line
+from o join d using (event_id)""")
+def q_result_json(spark, d):
+    decided = _decided(spark, d)
+    message = F.coalesce(*[F.when(F.col("verdict") == k, F.lit(v)) for k, v in REASON_MESSAGES.items()])
+    return O.answer_lines(decided, message)
