@@ -10,7 +10,7 @@ from pagemill.sources.tables import TABLES
 SF = "/root/testdata/sf0.001"
 SAMPLE = ["q_url_reject", "q_extract", "q_usage_daily", "q_cache_replay", "q_admission", "q_article_markdown",
           "q_report_first_party", "q_selector_hits", "q_redirects", "q_stream_daily", "q_markdown_text", "q_slim_size",
-          "q_beacon_status", "q_post_markdown", "q_store_upsert", "q_redirect_resolve"]
+          "q_beacon_status", "q_post_markdown", "q_store_upsert", "q_redirect_resolve", "q_article", "q_outcomes"]
 
 
 def _norm(rows, cols):
