@@ -208,16 +208,19 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, words_a_shingle: int =
 
     # the sketches and full sets of the documents that share a list, read once
     ids = staged(star.select("id").unionByName(star.select(F.col("hub").alias("id"))).distinct(), "op3")
+    few = ids.count() <= BROADCAST_IDS
     wanted = ids.withColumnRenamed("id", "doc_id")
-    wanted = F.broadcast(wanted) if ids.count() <= BROADCAST_IDS else wanted
+    wanted = F.broadcast(wanted) if few else wanted
+    hubs = star.select(F.col("hub").alias("id")).distinct()
+    sketch_of = lambda which: reps.join(F.broadcast(which) if few else which, "id", "left_semi")
     sets = staged(docs.join(wanted, "doc_id", "left_semi")
                   .mapInArrow(_whole_sets(words_a_shingle), "id long, set array<long>"), "op3")
 
     # far: similarity at twice the linking distance; six standard deviations of the estimate below it is surely farther
     far = 2 * threshold / 100 - 1
     margin = 6 * (far * (1 - far) / k) ** 0.5
-    sa = reps.select(F.col("id").alias("hub"), F.col("n_shingles").alias("na"), F.col("sketch").alias("ska"))
-    sb = reps.select("id", F.col("n_shingles").alias("nb"), F.col("sketch").alias("skb"))
+    sa = sketch_of(hubs).select(F.col("id").alias("hub"), F.col("n_shingles").alias("na"), F.col("sketch").alias("ska"))
+    sb = sketch_of(ids).select("id", F.col("n_shingles").alias("nb"), F.col("sketch").alias("skb"))
     union = F.slice(F.array_sort(_unsigned(F.array_union("ska", "skb"))), 1, k)
     shared = F.size(F.array_intersect(F.array_intersect(_unsigned("ska"), _unsigned("skb")), union))
     estimate = shared / F.least(F.size(F.array_union("ska", "skb")), F.lit(k))
