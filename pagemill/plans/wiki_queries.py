@@ -16,21 +16,32 @@ from pagemill.sources.tables import read_pages
 ARTICLE = r"(?s)<article[^>]*>(.*?)</article>"
 
 
+MISSING = "The page is missing."
+
+
 def _payloads(spark, d):
-    """A parse payload per page with its whole article; some without a title."""
+    """Four answers a page: a parse payload with its whole article (some without a title), an error beside the article, no text, no JSON."""
     pid = F.col("page_id")
     p = read_pages(spark, d, "page_id", "html").withColumn("art", F.regexp_extract("html", ARTICLE, 1))
     title = F.when(pid % 5 == 4, F.lit("  ")).when(pid % 5 == 2, F.lit(None)).otherwise(F.concat(F.lit(" Page "), pid.cast("string")))
-    body = F.to_json(F.struct(F.struct(title.alias("title"), F.col("art").alias("text")).alias("parse")))
-    return p.select("page_id", body.alias("body"), F.concat(F.lit("Some_page_"), pid.cast("string")).alias("page_title"))
+    parse = F.struct(title.alias("title"), F.col("art").alias("text")).alias("parse")
+    answers = {"article": F.to_json(F.struct(parse)),
+               "error": F.to_json(F.struct(F.struct(F.lit(MISSING).alias("info")).alias("error"), parse)),
+               "no text": F.to_json(F.struct(F.struct(F.lit("No text").alias("title")).alias("parse"))),
+               "broken": F.lit("{broken")}
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("answer"), v.alias("body")) for k, v in answers.items()])).alias("a")
+    return p.select("page_id", F.concat(F.lit("Some_page_"), pid.cast("string")).alias("page_title"), each).select("page_id", "page_title", "a.*")
 
 
 @register("q_wiki_payload", "S04 F08",
-          f"""with a as (select page_id, regexp_extract(html, '{ARTICLE}', 1) as art from pages)
-select page_id, case when art <> '' then case when page_id % 5 in (2, 4) then 'Some page ' else 'Page ' end || cast(page_id as varchar) end as display_title,
-  case when art = '' then {D.q(E.ERROR_NO_ARTICLE)} end as error, case when art <> '' then cast(octet_length(encode(art)) as bigint) end as source_bytes from a""")
+          f"""with a as (select page_id, regexp_extract(html, '{ARTICLE}', 1) as art from pages),
+  p as (select page_id, art, unnest(['article', 'error', 'no text', 'broken']) as answer from a)
+select page_id, answer,
+  case when answer = 'article' and art <> '' then case when page_id % 5 in (2, 4) then 'Some page ' else 'Page ' end || cast(page_id as varchar) end as display_title,
+  case when answer = 'error' then {D.q(MISSING)} when answer <> 'article' or art = '' then {D.q(E.ERROR_NO_ARTICLE)} end as error,
+  case when answer = 'article' and art <> '' then cast(octet_length(encode(art)) as bigint) end as source_bytes from p""")
 def q_wiki_payload(spark, d):
-    return E.parse_payload(_payloads(spark, d)).select("page_id", "display_title", "error", "source_bytes")
+    return E.parse_payload(_payloads(spark, d)).select("page_id", "answer", "display_title", "error", "source_bytes")
 
 
 def _fragments(spark, d):

@@ -143,3 +143,21 @@ def test_encyclopedia_payloads_without_an_article(spark):
     got = E.parse_payload(spark.createDataFrame(rows, "body string, page_title string")).collect()
     assert [r.error for r in got] == ["The page is missing."] + [E.ERROR_NO_ARTICLE] * 4 + [None] * 2
     assert [(r.fragment, r.display_title, r.source_bytes) for r in got[5:]] == [("<p>x", "T", 4), ("é", "A b", 2)]
+
+
+def test_encyclopedia_query_reads_every_article_and_every_kind_of_answer(spark, tmp_path):
+    from pagemill.operators import encyclopedia as E
+    from pagemill.plans.wiki_queries import q_wiki_payload
+
+    text = "<h1>Peat \"é\"</h1>" + "<p>bog</p>" * 500
+    html = [(i, f"<body><article class='x'>{text}{i}</article></body>") for i in range(5)] + [(5, "<p>no article</p>")]
+    spark.createDataFrame(html, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {(r.page_id, r.answer): tuple(r)[2:] for r in q_wiki_payload(spark, str(tmp_path)).collect()}
+    assert len(got) == 24
+    size = len(text.encode()) + 1
+    for i in range(5):
+        assert got[i, "article"] == (f"Some page {i}" if i in (2, 4) else f"Page {i}", None, size)
+    assert got[5, "article"] == (None, E.ERROR_NO_ARTICLE, None)
+    for i in range(6):
+        assert got[i, "error"] == (None, "The page is missing.", None)
+        assert got[i, "no text"] == got[i, "broken"] == (None, E.ERROR_NO_ARTICLE, None)
