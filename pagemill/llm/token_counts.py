@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, query, tokenizer_file
+from .common import documents, query, staged, tokenizer_file
 
 FREQUENT = 32_768          # entries of the broadcast table, each of at most LONGEST bytes: under 4 MB
 LONGEST = 64
@@ -136,7 +136,8 @@ def frequent_pretokens(texts: DataFrame, column: str = "text") -> list[str]:
                 .applyInPandas(_merge, "task long, summary binary"))
         left = -(-left // FAN_IN)
     total = _Summary()
-    for row in rows.toLocalIterator():
+    # written by all tasks side by side: an iterator over ``rows`` itself would run one task after the other
+    for row in staged(rows, "op1").toLocalIterator():
         total.add(_unpacked(row.summary))
     return [t for t, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:FREQUENT] if len(t.encode()) <= LONGEST]
 

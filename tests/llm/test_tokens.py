@@ -48,6 +48,19 @@ def test_summaries_merge_over_many_partitions(sample_docs):
     assert few == many and few[0] in (" the", ".")
 
 
+def test_summaries_are_made_side_by_side(spark, sample_docs):
+    docs, context = sample_docs.repartition(12).cache(), spark.sparkContext
+    docs.count()
+    context.setJobGroup("summaries", "all partitions in one job")
+    try:
+        assert token_counts.frequent_pretokens(docs)
+        told = context.statusTracker()
+        jobs = [told.getJobInfo(j) for j in told.getJobIdsForGroup("summaries")]
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert 12 in {told.getStageInfo(s).numTasks for j in jobs for s in j.stageIds if told.getStageInfo(s)}
+
+
 def test_unstable_characters_are_told():
     assert token_counts.stable_characters("plain été 東京 12", set())
     assert not token_counts.stable_characters("a\x1cb", set())
