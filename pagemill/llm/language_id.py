@@ -30,8 +30,10 @@ from .common import documents, query
 BITS = 18
 ORDERS = (1, 2, 3, 4)
 CHUNK = 64                     # words of a chain that are stepped through side by side with other stretches
-BATCH_CHARS = 1_500_000
-CACHE = 400_000                # word scores that a worker keeps before it starts anew
+BATCH_CHARS = 750_000
+SLICE_ROWS = 256               # rows whose texts a worker has as Python strings at once
+SCORED = 8_000                 # words whose features are made at once: 40 bytes a feature for a while
+CACHE = 150_000                # word scores that a worker keeps before it starts anew
 UNDETERMINED = "und"
 LONGEST = 40                   # characters of a word; a longer run, as in scripts without spaces, is cut into words
 
@@ -295,7 +297,7 @@ def _predict(model):
                 new = list({w for ws in split for w in ws})
             if new:
                 at.update(zip(new, range(len(at), len(at) + len(new))))
-                _STATE["rows"] = np.concatenate([_STATE["rows"], scores(new, weights)])
+                _STATE["rows"] = np.concatenate([_STATE["rows"], *(scores(new[i:i + SCORED], weights) for i in range(0, len(new), SCORED))])
             of = np.fromiter((at[w] for ws in split for w in ws), np.int64)
             size = np.array([len(ws) for ws in split])
             start = np.cumsum(size) - size
@@ -306,18 +308,18 @@ def _predict(model):
             return lang, score
 
         for batch in batches:
-            langs, marks, group, chars = [], [], [], 0
-            for text in [*batch.column("text").to_pylist(), None]:
-                group.append(text)
-                chars += len(text or "")
-                if chars > BATCH_CHARS:
-                    a, b = predicted(group)
-                    langs, marks, group, chars = langs + a, marks + b, [], 0
+            column, langs, marks, group, chars = batch.column("text"), [], [], [], 0
+            for first in range(0, batch.num_rows, SLICE_ROWS):
+                for text in column.slice(first, SLICE_ROWS).to_pylist():
+                    group.append(text)
+                    chars += len(text or "")
+                    if chars > BATCH_CHARS:
+                        a, b = predicted(group)
+                        langs, marks, group, chars = langs + a, marks + b, [], 0
             a, b = predicted(group)
-            n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [batch.column(i) for i in range(batch.num_columns)]
-                + [pa.array((langs + a)[:n], pa.string()), pa.array((marks + b)[:n], pa.float64())],
+                + [pa.array(langs + a, pa.string()), pa.array(marks + b, pa.float64())],
                 names=[*batch.schema.names, "lang_pred", "score"])
 
     return run

@@ -253,3 +253,27 @@ def test_contamination_of_rows_without_doc_id(spark):
     rows = [(None, "before " + item), (None, prose(41, 30)), (None, None), (3, item)]
     got = decontamination.contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.n_words, r.n_hit, r.contaminated) for r in got) == [(0, 0, 0, False), (0, 30, 0, False), (0, 31, 30, True), (3, 30, 30, True)]
+
+
+def test_a_language_worker_scores_few_words_at_once(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    class Model:
+        value = (["de", "en"], np.random.default_rng(3).normal(size=(1 << language_id.BITS, 2)).astype(np.float32), np.zeros((2, 2)))
+
+    texts = [" ".join(f"w{i}x{k}" for k in range(40)) if i % 7 else None for i in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    seen, features = [], language_id.features
+    monkeypatch.setattr(language_id, "features", lambda words: seen.append(len(words)) or features(words))
+    monkeypatch.setattr(language_id, "_STATE", {})
+    out = list(language_id._predict(Model())(iter([batch, batch.slice(0, 0)])))
+    assert sum(seen) == 40 * sum(t is not None for t in texts) and max(seen) <= 8_000
+    assert [x.num_rows for x in out] == [1000, 0]
+    # each text alone has the same prediction
+    got = dict(zip(out[0].column("doc_id").to_pylist(), zip(out[0].column("lang_pred").to_pylist(), out[0].column("score").to_pylist())))
+    for i in (0, 1, 255, 256, 500, 999):
+        monkeypatch.setattr(language_id, "_STATE", {})
+        alone = next(language_id._predict(Model())(iter([batch.slice(i, 1)])))
+        assert got[i][0] == alone.column("lang_pred")[0].as_py()
+        assert abs(got[i][1] - alone.column("score")[0].as_py()) < 1e-9
