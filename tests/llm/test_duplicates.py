@@ -112,6 +112,23 @@ def test_lines_with_one_edit_are_linked(spark, edge_docs, no_docs):
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
 
 
+def test_lists_and_their_members_are_read_from_one_exchange(edge_docs, monkeypatch):
+    plans, own = [], line_dedup.staged
+
+    def told(df, name):
+        plans.append(df)
+        return own(df, name)
+
+    monkeypatch.setattr(line_dedup, "staged", told)
+    line_dedup.line_components(edge_docs, dense=True).count()
+    shared = [df for df in plans if {"list", "id", "n"} <= set(df.columns)]
+    assert len(shared) == 1
+    shared[0].collect()
+    plan = shared[0]._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning(list" in x]
+    assert sum("ReusedExchange" not in x for x in dealt) == sum("ReusedExchange" in x for x in dealt) == 1
+
+
 def test_line_dedup_has_no_python(edge_docs):
     plan = line_dedup.line_components(edge_docs)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
