@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, query, tokenizer_file
+from .common import documents, query, tokenizer_file, worker_holds
 
 LONG_WORD = 1024
 BATCH_CHARS = 1_500_000
@@ -183,7 +183,7 @@ class Codec:
 
 def _codec(path: str, pattern: str) -> Codec:
     key = (path, pattern)
-    if _STATE.get("key") != key:
+    if worker_holds(_STATE).get("key") != key:
         _STATE.update(key=key, codec=Codec(read_ranks(path), pattern))
     return _STATE["codec"]
 

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, query
+from .common import documents, query, worker_holds
 
 BITS = 18
 ORDERS = (1, 2, 3, 4)
@@ -280,7 +280,7 @@ def _predict(model):
 
         labels, weights, trans = model.value
         letter = regex.compile(r"\p{L}").search
-        if _STATE.get("model") is not model:
+        if worker_holds(_STATE).get("model") is not model:
             _STATE.update(model=model, at={}, rows=np.zeros((0, max(1, len(labels)))))
 
         def predicted(texts):

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, query, tokenizer_file
+from .common import documents, query, tokenizer_file, worker_holds
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -371,7 +371,7 @@ class PieceModel:
 
 
 def _model(path: str) -> PieceModel:
-    if _STATE.get("path") != path:
+    if worker_holds(_STATE).get("path") != path:
         with open(path, "rb") as f:
             _STATE.update(path=path, model=PieceModel(f.read()))
     return _STATE["model"]

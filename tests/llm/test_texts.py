@@ -228,6 +228,24 @@ def test_pipeline_against_plain_stages(spark, pipeline_rows):
     assert {r.doc_id: r.ids for r in kept} == {r.doc_id: library.encode_ordinary(r.text) for r in start}
 
 
+def test_language_stage_sends_each_column_once(spark, sample_docs, monkeypatch):
+    import corpus_pipeline
+
+    sent, own = [], language_id.identify
+
+    def told(docs, model):
+        sent.append(docs)
+        return own(docs, model)
+
+    monkeypatch.setattr(language_id, "identify", told)
+    docs = sample_docs.withColumn("score", F.lit("own")).withColumn("Lang_Pred", F.lit(7))
+    out = corpus_pipeline._languages(spark, docs, "")
+    assert out.columns == docs.columns and {tuple(r) for r in out.select("score", "Lang_Pred").collect()} == {("own", 7)}
+    assert out.exceptAll(docs).count() == 0
+    assert [f.dataType.typeName() for f in sent[0].schema].count("string") == len([f for f in docs.schema if f.dataType.typeName() == "string"])
+    assert all(f.dataType.typeName() != "struct" for f in sent[0].schema)
+
+
 def test_line_stage_finds_one_changed_character(spark):
     import corpus_pipeline
 
