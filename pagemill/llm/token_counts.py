@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, query, staged, tokenizer_file
+from .common import documents, query, staged, tokenizer_file, worker_holds
 
 FREQUENT = 32_768          # entries of the broadcast table, each of at most LONGEST bytes: under 4 MB
 LONGEST = 64
@@ -34,7 +34,7 @@ _STATE: dict = {}
 
 
 def _tokenizer(path: str):
-    if ("tok", path) not in _STATE:
+    if ("tok", path) not in worker_holds(_STATE):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -48,9 +48,10 @@ def _splitter():
     if "split" not in _STATE:
         import regex
 
+        # words and numbers come first, being the most; contractions start with neither, so the order tells no difference
         space = r"\p{White_Space}"
         _STATE["split"] = regex.compile(
-            rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{space}\p{{L}}\p{{N}}]+|{space}+(?!\P{{White_Space}})|{space}+").findall
+            rf" ?\p{{L}}+| ?\p{{N}}+|'(?:[stmd]|re|ve|ll)| ?[^{space}\p{{L}}\p{{N}}]+|{space}+(?!\P{{White_Space}})|{space}+").findall
     return _STATE["split"]
 
 
@@ -66,26 +67,41 @@ def stable_characters(text: str, known: set) -> bool:
     return True
 
 
+def most_frequent(counts: dict, k: int) -> list[tuple[str, int]]:
+    """The k largest counts, of equal ones those of the smaller tokens; in no order."""
+    import numpy as np
+
+    if len(counts) <= k:
+        return list(counts.items())
+    least = int(np.partition(np.fromiter(counts.values(), np.int64, len(counts)), len(counts) - k)[len(counts) - k])
+    above = [(t, n) for t, n in counts.items() if n > least]
+    return above + [(t, least) for t in sorted(t for t, n in counts.items() if n == least)[:k - len(above)]]
+
+
 class _Summary(dict):
     """Pre-token counts, cut back to the most frequent when they outgrow the bound."""
 
     def add(self, counts) -> None:
-        for token, n in counts:
-            self[token] = self.get(token, 0) + n
+        if self:
+            for token, n in counts:
+                self[token] = self.get(token, 0) + n
+        else:
+            self.update(counts)
         if len(self) > 4 * SUMMARY:
             self.cut()
 
     def cut(self) -> None:
-        kept = sorted(self.items(), key=lambda x: (-x[1], x[0]))[:SUMMARY]
-        self.clear()
-        self.update(kept)
+        if len(self) > SUMMARY:
+            kept = most_frequent(self, SUMMARY)
+            self.clear()
+            self.update(kept)
 
     def packed(self) -> bytes:
         import pickle
         import zlib
 
         self.cut()
-        return zlib.compress(pickle.dumps(list(self.items())), 1)
+        return zlib.compress(pickle.dumps(sorted(self.items())), 1)
 
 
 def _unpacked(blob: bytes):
@@ -165,14 +181,23 @@ def _table(broadcast) -> dict:
     return _STATE["table"]
 
 
+def _both_tiers(frequent: dict) -> dict:
+    """The worker's cache, which starts from the table; a function, since tasks get copies of what they name themselves."""
+    if _STATE.get("cache_of") is not frequent:
+        _STATE.update(cache_of=frequent, cache=dict(frequent))
+    return _STATE["cache"]
+
+
 def _count(path: str, table):
     def run(batches):
+        from itertools import repeat
+
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        get, split, tok = _table(table).get, _splitter(), _tokenizer(path)
-        cache = _STATE.setdefault(("cache", path), {})
-        known = _STATE.setdefault("known", set())
+        tok = _tokenizer(path)
+        frequent, split, known = _table(table), _splitter(), set()
+        cache = _both_tiers(frequent)
         added = [t.content for t in tok.get_added_tokens_decoder().values()]
 
         def counted(texts):
@@ -184,14 +209,14 @@ def _count(path: str, table):
                     out.append(len(tok.encode(text, add_special_tokens=False).ids))
                 else:
                     tokens = split(text)
-                    found = list(map(get, tokens))
-                    if None in found:
-                        missing.append((len(out), [t for t, n in zip(tokens, found) if n is None]))
-                    out.append(sum(n for n in found if n))
-            new = list({t for _, ts in missing for t in ts}.difference(cache))
-            if len(cache) + len(new) > CACHE:
+                    found = list(map(cache.get, tokens, repeat(0)))      # no pre-token has 0 tokens
+                    if 0 in found:
+                        missing.append((len(out), [t for t, n in zip(tokens, found) if not n]))
+                    out.append(sum(found))
+            new = list({t for _, ts in missing for t in ts})
+            if len(cache) + len(new) > len(frequent) + CACHE:
                 cache.clear()
-                new = list({t for _, ts in missing for t in ts})
+                cache.update(frequent)
             cache.update(zip(new, _lengths(new, path)))
             for i, ts in missing:
                 out[i] += sum(map(cache.__getitem__, ts))

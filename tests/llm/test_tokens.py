@@ -61,6 +61,56 @@ def test_summaries_are_made_side_by_side(spark, sample_docs):
     assert 12 in {told.getStageInfo(s).numTasks for j in jobs for s in j.stageIds if told.getStageInfo(s)}
 
 
+def test_a_summary_is_cut_without_sorting_all_of_it(monkeypatch):
+    compared = []
+
+    class Token(str):
+        __hash__ = str.__hash__
+
+        def __lt__(self, other):
+            compared.append(1)
+            return str.__lt__(self, other)
+
+    monkeypatch.setattr(token_counts, "SUMMARY", 100)
+    rows = [(Token(f"t{i * 7919 % 5000}"), 9 if i < 95 else 5 if i < 105 else 1) for i in range(5000)]
+    summary = token_counts._Summary()
+    summary.add(iter(rows))
+    summary.cut()
+    compared_in_cuts = len(compared)
+    want = sorted(rows, key=lambda x: (-x[1], str(x[0])))[:100]
+    assert sorted((str(t), n) for t, n in summary.items()) == sorted((str(t), n) for t, n in want)
+    assert compared_in_cuts < 1000
+
+
+def test_counts_with_a_cache_that_starts_anew(spark, sample_docs, library, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_counts, "CACHE", 50)
+    monkeypatch.setattr(token_counts, "BATCH_CHARS", 3000)
+    rows = sample_docs.limit(60).collect()
+    path = tokenizer_file("byte_bpe_50k.json")
+
+    class Table:
+        value = token_counts._packed_table([" the", ".", " of"], path)
+
+    batch = pa.RecordBatch.from_arrays([pa.array([r.doc_id for r in rows]), pa.array([r.text for r in rows])], names=["doc_id", "text"])
+    got = [n for b in token_counts._count(path, Table())([batch]) for n in b.column("n_tokens").to_pylist()]
+    assert got == [len(library.encode(r.text, add_special_tokens=False).ids) for r in rows]
+
+
+def test_a_worker_keeps_the_state_of_one_operator(ranks, sample_docs):
+    import pyarrow as pa
+
+    path = bpe._vocabulary("byte_bpe_50k.tiktoken", None)
+    codec = bpe._codec(*path)
+    assert bpe._STATE["codec"] is codec is bpe._codec(*path)
+    token_counts._tokenizer(tokenizer_file("byte_bpe_50k.json"))
+    assert not bpe._STATE
+    batch = pa.RecordBatch.from_arrays([pa.array(["some text", None])], names=["text"])
+    assert [b.column("n_tokens").to_pylist() for b in bpe._encode(*path, True, True)([batch])] == [[2, 0]]
+    assert not token_counts._STATE
+
+
 def test_unstable_characters_are_told():
     assert token_counts.stable_characters("plain été 東京 12", set())
     assert not token_counts.stable_characters("a\x1cb", set())
