@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, query, worker_holds
+from .common import documents, query, worker_frees, worker_holds
 
 BITS = 18
 ORDERS = (1, 2, 3, 4)
@@ -321,6 +321,7 @@ def _predict(model):
                 [batch.column(i) for i in range(batch.num_columns)]
                 + [pa.array(langs + a, pa.string()), pa.array(marks + b, pa.float64())],
                 names=[*batch.schema.names, "lang_pred", "score"])
+        worker_frees(_STATE)                  # few of its words come again in other tasks
 
     return run
 

@@ -295,3 +295,16 @@ def test_a_language_worker_scores_few_words_at_once(monkeypatch):
         alone = next(language_id._predict(Model())(iter([batch.slice(i, 1)])))
         assert got[i][0] == alone.column("lang_pred")[0].as_py()
         assert abs(got[i][1] - alone.column("score")[0].as_py()) < 1e-9
+
+
+def test_language_worker_keeps_nothing_after_a_task(monkeypatch):
+    import pyarrow as pa
+
+    class Model:
+        value = language_id.fit([("en", ["the", "and"]), ("fr", ["le", "et"])], rounds=2)
+
+    freed = []
+    monkeypatch.setattr(pa, "default_memory_pool", lambda pool=pa.default_memory_pool(): type("Pool", (), {"release_unused": lambda self: freed.append(pool.release_unused())})())
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["the and le"])], names=["doc_id", "text"])
+    assert [b.num_rows for b in language_id._predict(Model())(iter([batch]))] == [1]
+    assert not language_id._STATE and freed
