@@ -1,6 +1,10 @@
 """Operators 1 and 10 against the tokenizer libraries."""
 
+import ctypes
 import hashlib
+import os
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -111,6 +115,24 @@ def test_a_worker_keeps_the_state_of_one_operator(ranks, sample_docs):
     assert not token_counts._STATE
 
 
+@pytest.mark.skipif(not hasattr(ctypes.CDLL(None), "malloc_trim"), reason="the C library is not glibc")
+@pytest.mark.parametrize("how", ["worker_frees(state)", "worker_holds({})"])
+def test_a_worker_gives_its_memory_back(how):
+    """Also what lies below memory still in use, which the C library keeps by itself."""
+    code = f"""
+import re
+from pagemill.llm.common import worker_frees, worker_holds
+def mb():
+    return int(re.search(r"Anonymous: +([0-9]+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+state = worker_holds({{}})
+state["rows"] = [bytearray(4000) for _ in range(30_000)]
+above, held = bytearray(4000), mb()
+{how}
+assert not state and held - mb() > 90, (held, mb())
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(__file__))))
+
+
 def test_unstable_characters_are_told():
     assert token_counts.stable_characters("plain été 東京 12", set())
     assert not token_counts.stable_characters("a\x1cb", set())
