@@ -157,3 +157,23 @@ def test_encyclopedia_query_reads_every_article_and_every_kind_of_answer(spark,
     want = [(i, f"Some page {i}" if i in (2, 4) else f"Page {i}", None, size) for i in range(5)] + [(5, None, no_article, None)]
     want += [(i, None, error, None) for i in range(6) for error in ("The page is missing.", no_article, no_article)]
     assert got == sorted(want, key=repr)
+
+
+def test_title_query_falls_back_to_the_markdown_and_the_host(spark, tmp_path):
+    import duckdb
+
+    from pagemill.plans import ORACLES
+    from pagemill.plans.doc_queries import q_title
+
+    html = [(1, "https://a.example/x", f"<html><head><title>T</title></head><body><article><h1>H &amp; I</h1>{PAD}</article></body></html>"),
+            (2, "https://a.example/x", f"<html><head><title> T </title></head><body>{PAD}</body></html>"),
+            (3, "https://a.example/x", f"<html><body><article><h1> </h1><p>one</p><h1>Second</h1>{PAD}</article></body></html>"),
+            (4, "https://a.example/x", f"<html><body><p>one</p><p>#  From a\nline</p><p># later</p>{PAD}</body></html>"),
+            (5, "https://B.example/x", f"<html><body><h2>no level one</h2><p>a # b</p><p>#c</p>{PAD}</body></html>"),
+            (6, "https://c.example/x", "")]
+    spark.createDataFrame(html, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    want = [(1, "H & I", "H & I"), (2, "T", "T"), (3, "", "one"), (4, "", "From a line"), (5, "", "b.example"), (6, "", "c.example")]
+    assert sorted((r.page_id, r.slim_title, r.title) for r in q_title(spark, str(tmp_path)).collect()) == want
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert sorted(con.execute(f"select page_id, slim_title, title from ({ORACLES['q_title']})").fetchall()) == want
