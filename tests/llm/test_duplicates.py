@@ -114,6 +114,29 @@ def test_lines_with_one_edit_are_linked(spark, edge_docs, no_docs):
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
 
 
+def test_signatures_are_the_least_hashes_without_a_row_for_each_place(spark, monkeypatch):
+    """The set of a line is made in its row: repeated and long lines, short ones, characters of any width."""
+    rng = random.Random(4)
+    lines = [(i, "".join(rng.choice("abc déø\U0001F600") for _ in range(n))) for i, n in enumerate((1, 4, 5, 6, 20, 36, 37, 70, 400, 3000))]
+    lines += [(20, "=" * 500), (21, "ab" * 400), (22, "abcdefghij" * 90 + "xyz"), (23, prose(77, 300) * 3)]
+    made = [(i, s.encode("utf-32-be")) for i, x in lines for s in ({x[k:k + 5] for k in range(len(x) - 4)} or {x})]
+    hashed = spark.createDataFrame(made, "h long, s binary").select("h", F.xxhash64("s").alias("x")).collect()
+    want = {i: [x % 2 ** 31 for x in sorted(r.x for r in hashed if r.h == i)[:line_dedup.SKETCH]] for i, _ in lines}
+    df = spark.createDataFrame(lines, "h long, line string")
+    assert {r.h: r.signature for r in line_dedup._signatures(df, True).collect()} == want
+
+    plans, own = [], line_dedup.staged
+
+    def told(df, name):
+        plans.append(df)
+        return own(df, name)
+
+    monkeypatch.setattr(line_dedup, "staged", told)
+    line_dedup.line_components(df.select(F.col("h").alias("doc_id"), F.col("line").alias("text")), dense=True).count()
+    table = next(df for df in plans if "signature" in df.columns)
+    assert "ObjectHashAggregate" not in table._jdf.queryExecution().executedPlan().toString()
+
+
 def test_lists_and_their_members_are_read_from_one_exchange(edge_docs, monkeypatch):
     plans, own = [], line_dedup.staged
 
